@@ -16,8 +16,10 @@ shuffle: what repeats there is settled there, and one copy is sent on behalf of
 so a passage in a third of all documents sends one entry a batch.  A false match of
 the short hash only adds a window to step 2, which compares 96 bits.
 
-Texts never move: hits and spans, which are small, are joined to a scan of the
-documents; they are broadcast only if their files are below ``BROADCAST_BYTES``.
+Hits and spans go back to their documents by shuffle, packed by shard of document.
+Texts without any stay where they are: a bitmap of ``SLOTS`` bits over hashed
+document ids, as at most ``SLOTS`` / 64 broadcast rows, tells the few that have to
+move, at any size of the input.
 
 Defined results: null text has no words; a null doc_id counts as larger than any;
 rows with the same doc_id never remove each other's words.
@@ -31,19 +33,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, scan_bytes, stored
+from ._common import scan_bytes, stored
 from ._words import U64, Words, groups, mark, mix, prefix_sums, span_hashes, window_starts
 
 WINDOW = 50
 #: Compressed input to a hash bucket, and the most buckets.
 BUCKET_BYTES, BUCKETS = 12 << 20, 1 << 16
+#: Bits of the map of documents that have hits or spans.
+SLOTS = 1 << 26
 _LAST = (1 << 63) - 1
 
+#: Buckets from 0 on hold hashes; a bucket of -1 - n holds positions for shard n of the documents, without hashes.
 _PACKED = "bucket int, hashes binary, positions binary, docs binary"
-_SPANS = "rid long, tkey long, kind int, data binary"
+_FOUND = "rid long, spans array<struct<tkey: long, data: binary>>"
+_FOUND_ARROW = pa.schema([("rid", pa.int64()), ("spans", pa.list_(pa.struct([("tkey", pa.int64()), ("data", pa.binary())])))])
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -68,11 +74,11 @@ def _docs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unplanes(data[: 8 * n], 8).view(np.int64), _unplanes(data[8 * n : 12 * n], 4), _unplanes(data[12 * n :], 4).astype(np.int64)
 
 
-def _rows(bucket: np.ndarray, hashes: bytes | np.ndarray, pos: np.ndarray, doc: np.ndarray, rid: np.ndarray, tkey: np.ndarray, width: int) -> Iterator[tuple]:
-    """A packed row for each bucket; ``hashes`` is [entry, width] bytes."""
+def _rows(bucket: np.ndarray, hashes: np.ndarray, pos: np.ndarray, doc: np.ndarray, rid: np.ndarray, tkey: np.ndarray) -> Iterator[tuple]:
+    """A packed row for each bucket; ``hashes`` is [entry, byte]."""
     order = np.argsort(bucket, kind="stable")
     bucket, hashes, pos, doc = bucket[order], hashes[order], pos[order], doc[order]
-    edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
+    edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         yield int(bucket[a]), hashes[a:b].tobytes(), _planes(pos[a:b], 4), _doc_table(rid, tkey, doc[a:b])
 
@@ -84,10 +90,38 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _span_rows(rid: np.ndarray, tkey: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
-    """Rows of ``_SPANS`` (kind 0: positions) of entries in order of document."""
-    first = np.flatnonzero(np.diff(doc, prepend=-1)).tolist() + [len(doc)]
-    return [(int(rid[doc[a]]), int(tkey[doc[a]]), 0, pos[a:b].astype("<u4").tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
+def _sharded(rid: np.ndarray, tkey: np.ndarray, doc: np.ndarray, pos: np.ndarray, shards: int) -> list[tuple]:
+    """Packed rows of positions, one for each shard of documents; entries come in order of document."""
+    shard = (mix(rid.view(np.uint64)) % U64(shards)).astype(np.int64)[doc]
+    return list(_rows(-1 - shard, np.zeros((len(doc), 0), np.uint8), pos, doc, rid, tkey))
+
+
+def _entries(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, tkey, position) of all entries of packed rows."""
+    docs = [_docs(d) for *_, d in rows]
+    rid, tkey = (np.concatenate([np.repeat(d[i], d[2]) for d in docs]) for i in (0, 1))
+    return rid, tkey, np.concatenate([_unplanes(p, 4) for _, _, p, _ in rows]).astype(np.int64)
+
+
+def _table_rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("bucket", "hashes", "positions", "docs")), strict=True))
+
+
+def _gathered(make):
+    """A shard's packed positions to a row for each document; ``make`` turns sorted positions into a span's data."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rid, tkey, pos = _entries(_table_rows(table))
+        order = np.lexsort((pos, tkey, rid))
+        rid, tkey, pos = rid[order], tkey[order], pos[order]
+        edge = np.flatnonzero((np.diff(rid) != 0) | (np.diff(tkey) != 0)) + 1
+        edge = [0, *edge.tolist(), len(rid)]
+        out: dict[int, list[dict]] = {}
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            out.setdefault(int(rid[a]), []).append({"tkey": int(tkey[a]), "data": make(pos[a:b])})
+        return pa.Table.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), _FOUND_ARROW.field(1).type)], schema=_FOUND_ARROW)
+
+    return run
 
 
 def _ids(part: pa.RecordBatch, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +137,8 @@ def _counts_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts[inverse], leads
 
 
-def _probes(buckets: int, window: int):
+def _probes(buckets: int, shards: int, window: int):
     block = window // 2
-    send = ["bucket", "hashes", "positions", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +161,7 @@ def _probes(buckets: int, window: int):
                 local = np.flatnonzero(mine[where] == h)
                 counts, leads = _counts_of(h[local])
                 settled = local[counts > 1]
-                out = [(-1 - (s[0] % buckets), s[3], s[1].to_bytes(4, "little"), s[0].to_bytes(8, "little", signed=True)) for s in _span_rows(rid, tkey, doc[settled], pos[settled])]
+                out = _sharded(rid, tkey, doc[settled], pos[settled], shards)
                 keep = np.ones(len(h), bool)
                 keep[local[(counts > 1) & ~leads]] = False
                 anchor[local[counts > 1]] = True
@@ -137,43 +170,52 @@ def _probes(buckets: int, window: int):
                 # five bytes of hash; the lowest bit says whether it is an anchor
                 short = ((h >> U64(17)) & ~U64(1)) | anchor.astype(U64)
                 packed = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                out += list(_rows(bucket, packed, pos, doc, rid, tkey, 5))
-                yield _batch(out, _PACKED).rename_columns(send) if out else _batch([], _PACKED)
+                out += _rows(bucket, packed, pos, doc, rid, tkey)
+                yield _batch(out, _PACKED)
 
     return run
 
 
-def _hits(key: tuple, table: pa.Table) -> pa.Table:
-    """The probes of one bucket that share an anchor's hash with another entry."""
-    rows = [tuple(x.as_py() for x in r) for r in zip(*(table.column(c) for c in ("bucket", "hashes", "positions", "docs")), strict=True)]
-    if key[0].as_py() < 0:
-        out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(p, "little"), 0, h) for _, h, p, d in rows]
-        return pa.Table.from_batches([_batch(out, _SPANS)])
-    short = np.concatenate([np.frombuffer(h, np.uint8).reshape(-1, 5) for _, h, _, _ in rows])
-    h = np.zeros((len(short), 8), np.uint8)
-    h[:, :5] = short
-    h = h.view("<u8").reshape(-1)
-    anchor = (h & U64(1)).astype(bool)
-    h = h >> U64(1)
-    known = np.unique(h[anchor])
-    if not len(known):
-        return pa.Table.from_batches([_batch([], _SPANS)])
-    near = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-    counts, _ = _counts_of(h[near])
-    hit = np.zeros(len(h), bool)
-    hit[near[counts > 1]] = True
-    out, at = [], 0
-    for _, hashes, positions, docs in rows:
-        n = len(hashes) // 5
-        found = np.flatnonzero(hit[at : at + n])
-        at += n
-        if len(found):
-            rid, tkey, counts = _docs(docs)
-            out += _span_rows(rid, tkey, np.repeat(np.arange(len(rid)), counts)[found], _unplanes(positions, 4)[found])
-    return pa.Table.from_batches([_batch(out, _SPANS)])
-
-
-def _windows(buckets: int, window: int):
+def _passed_on(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows, _PACKED)])
+
+
+def _hits(shards: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """The probes of one bucket that share an anchor's hash with another entry."""
+        rows = _table_rows(table)
+        if key[0].as_py() < 0:
+            return _passed_on(rows)
+        short = np.concatenate([np.frombuffer(h, np.uint8).reshape(-1, 5) for _, h, _, _ in rows])
+        h = np.zeros((len(short), 8), np.uint8)
+        h[:, :5] = short
+        h = h.view("<u8").reshape(-1)
+        anchor = (h & U64(1)).astype(bool)
+        h = h >> U64(1)
+        known = np.unique(h[anchor])
+        if not len(known):
+            return _passed_on([])
+        near = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+        counts, _ = _counts_of(h[near])
+        hit = near[counts > 1]
+        rid, tkey, pos = (x[hit] for x in _entries(rows))
+        return _passed_on(_by_text(rid, tkey, pos, shards))
+
+    return run
+
+
+def _by_text(rid: np.ndarray, tkey: np.ndarray, pos: np.ndarray, shards: int) -> list[tuple]:
+    """Packed rows by shard of entries in any order."""
+    if not len(rid):
+        return []
+    order = np.lexsort((tkey, rid))
+    rid, tkey, pos = rid[order], tkey[order], pos[order]
+    new = np.ones(len(rid), bool)
+    new[1:] = (np.diff(rid) != 0) | (np.diff(tkey) != 0)
+    return _sharded(np.ascontiguousarray(rid[new]), tkey[new], np.cumsum(new) - 1, pos, shards)
+
+
+def _windows(buckets: int, shards: int, window: int):
     """Rows (rid, text, spans) with hits to packed rows of the windows around them."""
     block = window // 2
 
@@ -212,12 +254,11 @@ def _windows(buckets: int, window: int):
                 out = []
                 lost = np.flatnonzero(gone)
                 if len(lost):
-                    for s in _span_rows(rid, tkey, doc[lost], pos[lost]):
-                        out.append((-1 - (s[0] % buckets), s[3], s[1].to_bytes(4, "little"), s[0].to_bytes(8, "little", signed=True)))
+                    out += _sharded(rid, tkey, doc[lost], pos[lost], shards)
                 kept = ~gone
                 packed = np.concatenate([h[kept].astype("<u8").view(np.uint8).reshape(-1, 8), h2[kept].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
                 if kept.any():
-                    out += list(_rows(((h[kept] >> U64(20)) % U64(buckets)).astype(np.int64), packed, pos[kept], doc[kept], rid, tkey, 12))
+                    out += list(_rows(((h[kept] >> U64(20)) % U64(buckets)).astype(np.int64), packed, pos[kept], doc[kept], rid, tkey))
                 yield _batch(out, _PACKED)
 
     return run
@@ -230,39 +271,36 @@ def _cover(positions: np.ndarray, window: int) -> bytes:
     return np.stack([p[np.concatenate([[0], cut + 1])], p[np.concatenate([cut, [len(p) - 1]])] + window]).T.astype("<u4").tobytes()
 
 
-def _removals(window: int):
+def _removals(shards: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [tuple(x.as_py() for x in r) for r in zip(*(table.column(c) for c in ("bucket", "hashes", "positions", "docs")), strict=True)]
+        """The windows of one bucket that start in a smaller document too."""
+        rows = _table_rows(table)
         if key[0].as_py() < 0:
-            out = [(int.from_bytes(d, "little", signed=True), int.from_bytes(p, "little"), 1, _cover(np.frombuffer(h, "<u4"), window)) for _, h, p, d in rows]
-            return pa.Table.from_batches([_batch(out, _SPANS)])
+            return _passed_on(rows)
         raw = np.concatenate([np.frombuffer(h, np.uint8).reshape(-1, 12) for _, h, _, _ in rows])
         h = np.ascontiguousarray(raw[:, :8]).view("<u8").reshape(-1)
         h2 = np.ascontiguousarray(raw[:, 8:]).view("<u4").reshape(-1)
-        docs = [_docs(d) for *_, d in rows]
-        rid = np.concatenate([np.repeat(d[0], d[2]) for d in docs])
+        rid, tkey, pos = _entries(rows)
         order = np.lexsort((rid, h2, h))
         new = np.ones(len(h), bool)
         new[1:] = (np.diff(h[order]) != 0) | (np.diff(h2[order]) != 0)
         least = rid[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = np.zeros(len(h), bool)
-        gone[order] = rid[order] > least
-        out, at = [], 0
-        for (_, hashes, positions, _), (ids, tkey, counts) in zip(rows, docs, strict=True):
-            n = len(hashes) // 12
-            found = np.flatnonzero(gone[at : at + n])
-            at += n
-            if len(found):
-                spans = _span_rows(ids, tkey, np.repeat(np.arange(len(ids)), counts)[found], _unplanes(positions, 4)[found])
-                out += [(r, t, 1, _cover(np.frombuffer(d, "<u4"), window)) for r, t, _, d in spans]
-        return pa.Table.from_batches([_batch(out, _SPANS)])
+        gone = order[rid[order] > least]
+        return _passed_on(_by_text(rid[gone], tkey[gone], pos[gone], shards))
 
     return run
 
 
-def _by_document(spans: DataFrame, name: str) -> DataFrame:
-    per_doc = stored(spans.groupBy("rid").agg(F.collect_list(F.struct("tkey", "data")).alias("spans")), name)
-    return F.broadcast(per_doc) if scan_bytes(per_doc) <= BROADCAST_BYTES // 4 else per_doc
+def _slot(rid: Column) -> Column:
+    return F.pmod(F.xxhash64(rid), F.lit(SLOTS))
+
+
+def _marked(rows: DataFrame, found: DataFrame, has: bool) -> DataFrame:
+    """Rows whose document may be in ``found`` (all that are, and a few more), or the others."""
+    words = found.select(_slot(F.col("rid")).alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("_bits"))
+    joined = rows.withColumn("_s", _slot(F.col("rid"))).withColumn("_word", F.shiftright("_s", 6)).join(F.broadcast(words), "_word", "left")
+    on = F.expr("coalesce(shiftright(_bits, cast(_s & 63 as int)) & 1, 0) = 1")
+    return joined.where(on if has else ~on).select(*rows.columns)
 
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -275,11 +313,12 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: s
         raise ValueError("the window has to be an even number of words")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = int(min(BUCKETS, max(8, scan_bytes(docs) // BUCKET_BYTES)))
-    hits = rows.mapInArrow(_probes(buckets, window), _PACKED).groupBy("bucket").applyInArrow(_hits, _SPANS)
-    hits = _by_document(hits, "anchor-hits")
-    around = rows.join(hits, "rid").select("rid", "text", "spans")
-    fewer = max(4, buckets // 4)
-    return _by_document(around.mapInArrow(_windows(fewer, window), _PACKED).groupBy("bucket").applyInArrow(_removals(window), _SPANS), "repeat-spans")
+    shards = max(4, buckets // 4)
+    hits = rows.mapInArrow(_probes(buckets, shards, window), _PACKED).groupBy("bucket").applyInArrow(_hits(shards), _PACKED)
+    hits = stored(hits.groupBy("bucket").applyInArrow(_gathered(lambda p: p.astype("<u4").tobytes()), _FOUND), "anchor-hits")
+    around = _marked(rows, hits, True).join(hits, "rid").select("rid", "text", "spans")
+    removed = around.mapInArrow(_windows(shards, shards, window), _PACKED).groupBy("bucket").applyInArrow(_removals(shards), _PACKED)
+    return stored(removed.groupBy("bucket").applyInArrow(_gathered(lambda p: _cover(p, window)), _FOUND), "repeat-spans")
 
 
 def kept_words(text: bytes, spans: list[bytes]) -> tuple[list[bytes], int]:
@@ -316,5 +355,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: str
                 n_words, n_removed, value = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(value, pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
-    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+    schema = f"doc_id long, n_words long, n_removed long, {last} string"
+    cut = _marked(rows, spans, True).join(spans, "rid", "left").select("doc_id", "text", "spans")
+    whole = _marked(rows, spans, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return cut.mapInArrow(run, schema).union(whole.mapInArrow(run, schema))
