@@ -217,7 +217,10 @@ def matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, fl
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     vocab = None
     for c in hot.tolist():
-        units = index.search(sorted(set(codes[border[c] : border[c + 2]].tolist())))
+        terms = np.unique(codes[border[c] : border[c + 2]])
+        if index.bounds[terms].sum(axis=0).max() < 1 - 1e-4:
+            continue  # terms of both cells were counted twice above
+        units = index.search(terms.tolist())
         if not units:
             continue
         d = int(np.searchsorted(first_cell, c, side="right")) - 1
