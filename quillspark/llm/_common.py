@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Compact side tables up to this many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +45,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, for choosing partition counts only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a plan, for choosing partition counts and join sides; 0 if it has none."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 60 else 0
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the rows that the session sends to Python at once.
+
+    Spark's default of 10,000 rows is made for narrow rows; of texts of many kilobytes
+    that is more than two workers of a small executor should hold beside its heap.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,7 +15,7 @@ import xxhash
 
 U64 = np.uint64
 #: Texts are worked on in groups of about this many bytes, so that memory stays flat; one longer text is a group alone.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def plain(column: pa.Array) -> pa.Array:

@@ -72,7 +72,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     sources = sources.select(_key(F.col("source")).alias("_k"), "source_size", "target")
     running = F.coalesce(F.sum("n").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     groups = totals.select("_k", "_b", running.alias("_before")).join(sources, "_k")
-    if scan_bytes(totals) <= BROADCAST_BYTES // 8:
+    if 0 < scan_bytes(totals) <= BROADCAST_BYTES // 8:
         groups = F.broadcast(groups)
     within = W.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size")
     placed = sized.withColumn("_here", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).join(groups, ["_k", "_b"])
