@@ -22,12 +22,16 @@ an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,49 +47,119 @@ SAMPLE_ROWS, SAMPLE_ROW_BYTES, DICTIONARY_BYTES = 600, 64_000, 64 << 10
 LEVEL = 3
 PACK_BYTES = 1 << 20
 TASK_BYTES = 32 << 20
-_CACHE = 400_000
+#: Words kept encoded in a worker.
+_CACHE = 200_000
+
+
+#: Pipelines (fixed values) whose pre-tokens are runs of letters, single digits and runs of other signs, with lower-cased
+#: text and a mark at the end of each pre-token's last id: for these, words can be cut further by plain rules.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Letters, then ASCII signs other than the apostrophe, ``<`` and ``_``.
+_LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-^`{-~]+)")
+
+
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, and still is when composed and lowered (some letters turn into a letter and a mark)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 class Encoder:
     """Ids of whole texts from a ``tokenizers`` file.
 
-    The tokenizer's pattern never spans white space, so a text's ids are its words'
-    ids end to end; each distinct word is encoded once (as in the text, but for the
-    case of ASCII words if the tokenizer lowers it) and kept in a bounded table.
+    A tokenizer whose pattern never spans white space gives a text the ids of its
+    words end to end.  So each distinct word of a group of texts is looked up in
+    a bounded table, and only unknown ones are encoded, many to a call; the ids
+    of the texts are then gathered as arrays.  Texts with a special token's
+    opening, and any other tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4")
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.type = np.dtype("<u2" if max(t.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
-        # both hold for a tokenizer that drops white space; any other gets whole texts
-        probe = [x.ids for x in self.tokenizer.encode_batch(["Ab\tcd,\nEf", "Ab", "cd,", "Ef", "ab"], add_special_tokens=False)]
-        self.by_word = probe[0] == probe[1] + probe[2] + probe[3]
-        self.lower = probe[1] == probe[4]
+        told = json.loads(t.to_str())
+        pre = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        mark = told["model"].get("end_of_word_suffix")
+        self.by_word = bool(
+            mark and told["model"]["type"] == "BPE" and (told.get("normalizer") or {}).get("normalizers") == _LOWERED
+            and pre[0].get("pattern") == {"Regex": _RUNS} and pre[0].get("invert") and len(pre) == 2 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"]
+        )
+        if self.by_word:
+            self.last = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+            for token, i in t.get_vocab(with_added_tokens=False).items():
+                self.last[i] = token.endswith(mark)
+            # the same model without the pattern: for words that are one pre-token each
+            self.ascii, self.letters = Tokenizer(t.model), Tokenizer(t.model)
+            self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pretokens(self, tokenizer, words: list[str]) -> None:
+        """Look up words of one pre-token each: encoded as one text, cut where a pre-token ends."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.type)
+            raw, edge = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * self.type.itemsize).tolist()
+            if len(edge) != len(some):
+                raise ValueError("the tokenizer does not end every pre-token with its mark")
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *edge[:-1]], edge, strict=True)], strict=True))
+
+    def _learn(self, ascii_letters: list[str], others: list[str]) -> None:
+        known, single, signs, pairs, rest = self.known, dict.fromkeys(ascii_letters), {}, [], []
+        for w in others:
+            if _letters(w):
+                single[w] = None
+                continue
+            m = _LETTERS_SIGNS.fullmatch(w)
+            if m and _letters(m[1]):
+                pairs.append((w, m[1], m[2]))
+                if m[1] not in known:
+                    single[m[1]] = None
+                if m[2] not in known:
+                    signs[m[2]] = None
+            else:
+                rest.append(w)
+        self._pretokens(self.ascii, [w for w in single if w.isascii()])
+        self._pretokens(self.letters, [w for w in single if not w.isascii()])
+        rest += signs
+        known.update(zip(rest, self._ids(rest), strict=True))
+        known.update([(w, known[a] + known[b]) for w, a, b in pairs])
+
     def encode(self, texts: pa.Array) -> list[bytes]:
+        """Serialised ids of each text, with the end id."""
         if not self.by_word:
             return [x + self.end for x in self._ids(texts.to_pylist())]
-        words = Words(texts)
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        words = Words(pc.ascii_lower(texts))
         vocab = words.vocab.to_pylist()
-        if self.lower:
-            vocab = [w.lower() if w.isascii() and "<|" not in w else w for w in vocab]
         known = self.known
         if len(known) > _CACHE:
             known.clear()
-        new = [w for w in dict.fromkeys(vocab) if w not in known]
-        if new:
-            known.update(zip(new, self._ids(new), strict=True))
-        pieces = [known[w] for w in vocab]
-        codes, at = words.codes.tolist(), words.offsets.tolist()
-        return [b"".join([pieces[c] for c in codes[a:b]]) + self.end for a, b in zip(at[:-1], at[1:], strict=True)]
+        pieces = list(map(known.get, vocab))
+        new = np.array([i for i, x in enumerate(pieces) if x is None], np.int64)
+        plain = pc.ascii_is_alpha(words.vocab).to_numpy(zero_copy_only=False)[new]
+        self._learn([vocab[i] for i in new[plain].tolist()], [vocab[i] for i in new[~plain].tolist()])
+        for i in new.tolist():
+            pieces[i] = known[vocab[i]]
+        flat = np.frombuffer(b"".join(pieces), self.type)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
+        start = np.cumsum(size) - size
+        n = size[words.codes]
+        after = np.cumsum(n)
+        ids = flat[np.arange(int(after[-1]) if len(n) else 0) + np.repeat(start[words.codes] - (after - n), n)]
+        edge = np.concatenate([[0], after])[words.offsets].tolist()
+        out = [ids[a:b].tobytes() + self.end for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for i in np.flatnonzero(special).tolist():
+            out[i] = self._ids([texts[i].as_py()])[0] + self.end
+        return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
