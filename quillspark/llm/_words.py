@@ -41,6 +41,21 @@ def groups(batch: pa.RecordBatch, column: str = "text", most: int = GROUP_BYTES)
         at = to
 
 
+def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``least`` bytes, for work whose cost goes by distinct values of a batch."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 and sum(b.num_rows for b in held) else held[0]
+            held, size = [], 0
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield rows[0] if rows else held[0]
+
+
 class Words:
     """The words of some texts: ``codes`` into ``vocab``, and ``offsets`` by text."""
 

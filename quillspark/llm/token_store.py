@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._common import scan_bytes
-from ._words import Words, groups
+from ._words import Words, groups, merged
 
 END_ID = 1
 #: The dictionary is trained on at most about this many documents, none longer than this many bytes.
@@ -48,7 +47,9 @@ LEVEL = 3
 PACK_BYTES = 1 << 20
 TASK_BYTES = 32 << 20
 #: Words kept encoded in a worker.
-_CACHE = 200_000
+_CACHE = 60_000
+#: Bytes of texts that are encoded together.
+_GROUP = 8 << 20
 
 
 #: Pipelines (fixed values) whose pre-tokens are runs of letters, single digits and runs of other signs, with lower-cased
@@ -56,7 +57,7 @@ _CACHE = 200_000
 _RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Letters, then ASCII signs other than the apostrophe, ``<`` and ``_``.
-_LETTERS_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-^`{-~]+)")
+_LETTERS_SIGNS = r"^(?P<letters>\p{L}+)(?P<signs>[!-&(-/:;=-@\[-^`{-~]*)$"
 
 
 def _letters(word: str) -> bool:
@@ -68,9 +69,9 @@ class Encoder:
     """Ids of whole texts from a ``tokenizers`` file.
 
     A tokenizer whose pattern never spans white space gives a text the ids of its
-    words end to end.  So each distinct word of a group of texts is looked up in
-    a bounded table, and only unknown ones are encoded, many to a call; the ids
-    of the texts are then gathered as arrays.  Texts with a special token's
+    words end to end.  So the distinct words of a group of texts are cut into letters
+    and the signs after them, looked up in a bounded table of common ones, and only
+    the others are encoded, many to a call; the ids of the texts are then gathered as arrays.  Texts with a special token's
     opening, and any other tokenizer, are encoded whole.
     """
 
@@ -97,71 +98,88 @@ class Encoder:
             self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pretokens(self, tokenizer, words: list[str]) -> None:
-        """Look up words of one pre-token each: encoded as one text, cut where a pre-token ends."""
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.type)
-            raw, edge = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * self.type.itemsize).tolist()
-            if len(edge) != len(some):
-                raise ValueError("the tokenizer does not end every pre-token with its mark")
-            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *edge[:-1]], edge, strict=True)], strict=True))
-
-    def _learn(self, ascii_letters: list[str], others: list[str]) -> None:
-        known, single, signs, pairs, rest = self.known, dict.fromkeys(ascii_letters), {}, [], []
-        for w in others:
-            if _letters(w):
-                single[w] = None
-                continue
-            m = _LETTERS_SIGNS.fullmatch(w)
-            if m and _letters(m[1]):
-                pairs.append((w, m[1], m[2]))
-                if m[1] not in known:
-                    single[m[1]] = None
-                if m[2] not in known:
-                    signs[m[2]] = None
-            else:
-                rest.append(w)
-        self._pretokens(self.ascii, [w for w in single if w.isascii()])
-        self._pretokens(self.letters, [w for w in single if not w.isascii()])
-        rest += signs
-        known.update(zip(rest, self._ids(rest), strict=True))
-        known.update([(w, known[a] + known[b]) for w, a, b in pairs])
+            self.common = pa.array([], pa.string())  # words seen again and again, with their ids
+            self.common_ids, self.common_size = np.zeros(0, self.type), np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.type) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pretokens(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one pre-token each, and how many each has: encoded as one text, cut where a pre-token ends."""
+        parts = [np.array(tokenizer.encode(" ".join(words[at : at + 2000]), add_special_tokens=False).ids, self.type) for at in range(0, len(words), 2000)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.type)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not end every pre-token with its mark")
+        return ids, np.diff(ends, prepend=0)
+
+    def _words(self, letters: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of distinct words of letters, which occur so many times."""
+        at = pc.index_in(letters, self.common).fill_null(-1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        plain = pc.string_is_ascii(letters).to_numpy(zero_copy_only=False)[new]
+        order = np.concatenate([new[plain], new[~plain]])
+        a, na = self._pretokens(self.ascii, letters.take(pa.array(new[plain])).to_pylist())
+        b, nb = self._pretokens(self.letters, letters.take(pa.array(new[~plain])).to_pylist())
+        ids, size_new = np.concatenate([self.common_ids, a, b]), np.concatenate([na, nb])
+        common_start = np.cumsum(self.common_size) - self.common_size
+        start, size = np.empty(len(letters), np.int64), np.empty(len(letters), np.int64)
+        start[order], size[order] = len(self.common_ids) + np.cumsum(size_new) - size_new, size_new
+        old = np.flatnonzero(at >= 0)
+        start[old], size[old] = common_start[at[old]], self.common_size[at[old]]
+        again = new[times[new] > 1]
+        if len(again) and len(self.common) < _CACHE:
+            self.common = pa.concat_arrays([self.common, letters.take(pa.array(again))])
+            self.common_ids = np.concatenate([self.common_ids, ids[_ragged(start[again], size[again])]])
+            self.common_size = np.concatenate([self.common_size, size[again]])
+        return ids, start, size
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Serialised ids of each text, with the end id."""
         if not self.by_word:
-            return [x + self.end for x in self._ids(texts.to_pylist())]
+            return [x.tobytes() + self.end for x in self._ids(texts.to_pylist())]
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         words = Words(pc.ascii_lower(texts))
-        vocab = words.vocab.to_pylist()
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        pieces = list(map(known.get, vocab))
-        new = np.array([i for i, x in enumerate(pieces) if x is None], np.int64)
-        plain = pc.ascii_is_alpha(words.vocab).to_numpy(zero_copy_only=False)[new]
-        self._learn([vocab[i] for i in new[plain].tolist()], [vocab[i] for i in new[~plain].tolist()])
-        for i in new.tolist():
-            pieces[i] = known[vocab[i]]
-        flat = np.frombuffer(b"".join(pieces), self.type)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
+        cut = pc.extract_regex(words.vocab, _LETTERS_SIGNS)
+        letters, signs = (pc.struct_field(cut, i).dictionary_encode() for i in (0, 1))
+        safe = np.array([w.isascii() or _letters(w) for w in letters.dictionary.to_pylist()], bool)
+        code = letters.indices.fill_null(0).to_numpy(zero_copy_only=False)
+        whole = pc.is_valid(cut).to_numpy(zero_copy_only=False) & (safe[code] if len(safe) else False)
+        # each distinct word is letters and signs, or (rarely) something else that is encoded by itself
+        used = np.flatnonzero(safe)
+        ids, start, size = self._words(letters.dictionary.take(pa.array(used)), np.bincount(code[words.codes], minlength=len(safe))[used])
+        rest = [*signs.dictionary.to_pylist(), *words.vocab.take(pa.array(np.flatnonzero(~whole))).to_pylist()]
+        more = self._ids(rest)
+        more_size = np.array([len(x) for x in more], np.int64)
+        more_start = len(ids) + np.cumsum(more_size) - more_size
+        ids = np.concatenate([ids, *more])
+        piece = np.zeros((len(words.vocab), 2, 2), np.int64)  # start and size of the two parts
+        place = np.full(len(safe), -1)
+        place[used] = np.arange(len(used))
+        w = np.flatnonzero(whole)
+        piece[w, 0, 0], piece[w, 0, 1] = start[place[code[w]]], size[place[code[w]]]
+        sign = signs.indices.fill_null(0).to_numpy(zero_copy_only=False)[w]
+        piece[w, 1, 0], piece[w, 1, 1] = more_start[sign], more_size[sign]
+        odd = np.flatnonzero(~whole)
+        piece[odd, 0, 0], piece[odd, 0, 1] = more_start[len(signs.dictionary) :], more_size[len(signs.dictionary) :]
+        flat = ids[_ragged(piece[:, :, 0].reshape(-1), piece[:, :, 1].reshape(-1))]
+        size = piece[:, :, 1].sum(axis=1)
         start = np.cumsum(size) - size
         n = size[words.codes]
-        after = np.cumsum(n)
-        ids = flat[np.arange(int(after[-1]) if len(n) else 0) + np.repeat(start[words.codes] - (after - n), n)]
-        edge = np.concatenate([[0], after])[words.offsets].tolist()
+        edge = np.concatenate([[0], np.cumsum(n)])[words.offsets].tolist()
+        ids = flat[_ragged(start[words.codes], n)]
         out = [ids[a:b].tobytes() + self.end for a, b in zip(edge[:-1], edge[1:], strict=True)]
         for i in np.flatnonzero(special).tolist():
-            out[i] = self._ids([texts[i].as_py()])[0] + self.end
+            out[i] = self._ids([texts[i].as_py()])[0].tobytes() + self.end
         return out
 
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of every run, end to end."""
+    after = np.cumsum(size)
+    return np.arange(int(after[-1]) if len(after) else 0) + np.repeat(start - (after - size), size)
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -194,8 +212,8 @@ def write(docs: DataFrame, to: str, *, tokenizer: str, end_id: int = END_ID, tex
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, end_id)
-        for batch in batches:
-            for _, texts in groups(batch):
+        for batch in merged(batches, _GROUP):
+            for _, texts in groups(batch, most=_GROUP):
                 yield pa.RecordBatch.from_arrays([pa.array(e.encode(texts), pa.binary())], names=["ids"])
 
     n = rows.count()
@@ -225,8 +243,8 @@ def write(docs: DataFrame, to: str, *, tokenizer: str, end_id: int = END_ID, tex
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in PACK.split(", ")])
 
-        for batch in batches:
-            for part, texts in groups(batch):
+        for batch in merged(batches, _GROUP):
+            for part, texts in groups(batch, most=_GROUP):
                 for doc_id, raw in zip(part.column(0).to_pylist(), e.encode(texts), strict=True):
                     frame = zip_.compress(raw)
                     if frames and held + len(frame) > PACK_BYTES:
