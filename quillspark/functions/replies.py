@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text_or_empty
+from .text import stripped, text_or_empty
 
 #: Short and long names of the five review scores (fixed values).
 SCORES = {"C1": "contribution", "C2": "correctness", "C3": "clarity", "C4": "connectedness", "L": "likelihood"}
@@ -20,7 +20,7 @@ def json_text(reply: Column) -> Column:
     t = text_or_empty(reply)
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    valid = [F.when((c != "") & F.try_parse_json(c).isNotNull(), c) for c in (fenced, braces, F.trim(t))]
+    valid = [F.when((c != "") & F.try_parse_json(c).isNotNull(), c) for c in (fenced, braces, stripped(t))]
     return F.coalesce(*valid)
 
 
@@ -31,8 +31,8 @@ def relevance(reply: Column) -> Column:
     (0.8), its outermost braces (0.7), ``score: n`` in text (0.5), ``relevance ... n`` (0.5), a lone digit 1 to 5 (0.3).
     A confidence that the JSON gives itself is kept.
     """
-    t = F.trim(text_or_empty(reply))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?", ""), r"```$", ""))
+    t = stripped(text_or_empty(reply))
+    t = stripped(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?", ""), r"```$", ""))
     tries = []
     for pattern, confidence in ((r"(?s)^(\{.*\})$", 1.0), (r"(?s)(\{[^{}]*?\})", 0.9), (r"(?s)(\{.*?\})", 0.8), (r"(?s)(\{.*\})", 0.7)):
         found = F.regexp_extract(t, pattern, 1)
@@ -67,7 +67,7 @@ def listed(value: Column, arrows: bool = False) -> Column:
     parts = F.split(text_or_empty(value), ",")
     if arrows:
         parts = F.when(F.contains(value, F.lit("→")), F.split(value, "→")).otherwise(parts)
-    return F.transform(parts, F.trim)
+    return F.transform(parts, lambda x: F.trim(x))
 
 
 def percent(value: Column) -> Column:

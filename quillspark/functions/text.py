@@ -30,6 +30,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at either end, line ends too."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text_or_empty(text), F.lit(f"({pattern})"), 1)
 
@@ -160,8 +165,8 @@ def token_estimate(text: Column) -> tuple[Column, Column]:
 
 def unfenced(text: Column) -> Column:
     """Text without the Markdown fence around it."""
-    t = F.trim(text_or_empty(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"^```(?:markdown|md|json)?\s*", ""), r"\s*```$", ""))
+    t = stripped(text_or_empty(text))
+    return stripped(F.regexp_replace(F.regexp_replace(t, r"^```(?:markdown|md|json)?\s*", ""), r"\s*```$", ""))
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:

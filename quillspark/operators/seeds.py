@@ -29,10 +29,12 @@ def match(papers: DataFrame, seeds: DataFrame, *, top: int = TOP, least: float =
     rows = papers.select("paper_id", tokens.alias("_w"), title.alias("_title"), F.lower(F.concat(T.text_or_empty(F.col("title")), F.lit(" "), abstract)).alias("_text"))
     phrases = F.transform(F.concat(F.array(T.text_or_empty(F.col("name"))), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))), F.lower)
     seed = F.struct("seed_pos", "node_id", "level", "category", F.array_distinct("keywords").alias("k"), phrases.alias("p"))
-    packed = seeds.where(F.size("keywords") > 0).agg(F.array_sort(F.collect_list(seed)).alias("_seeds"))
+    packed = seeds.where(F.size("keywords") > 0).agg(F.array_sort(F.collect_list(seed)).alias("_seeds"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("_all"))
 
     def scored(s: Column) -> Column:
-        overlap = F.size(F.array_intersect(F.col("_w"), s["k"])) / F.size(F.array_union(F.col("_w"), s["k"]))
+        # a paper's words are met with all keywords once, so that each seed looks through a few only
+        both = F.size(F.array_intersect(s["k"], F.col("_known")))
+        overlap = both / (F.size("_w") + F.size(s["k"]) - both)
 
         def phrase(total: Column, p: Column) -> Column:
             n = F.length(p)
@@ -47,7 +49,7 @@ def match(papers: DataFrame, seeds: DataFrame, *, top: int = TOP, least: float =
         score = F.least(F.lit(1.0), raised)
         return F.struct((-score).alias("order"), s["seed_pos"].alias("seed_pos"), s["node_id"].alias("node_id"), s["level"].alias("level"), s["category"].alias("category"), score.alias("score"))
 
-    found = rows.where(F.size("_w") > 0).join(F.broadcast(packed))
+    found = rows.where(F.size("_w") > 0).join(F.broadcast(packed)).withColumn("_known", F.array_intersect("_w", "_all"))
     best = F.slice(F.array_sort(F.filter(F.transform("_seeds", scored), lambda x: x["score"] >= least)), 1, top)
     return found.select("paper_id", F.posexplode(best).alias("_i", "_s")).select("paper_id", "_s.node_id", "_s.level", "_s.category", "_s.score", (F.col("_i") + 1).alias("rank"))
 

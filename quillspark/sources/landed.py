@@ -1,5 +1,6 @@
 """A Python data source for papers landed as JSON lines, with the year test pushed into the reader.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LandedPapers)
     spark.read.format("landed_papers").option("path", folder).load()
 

@@ -88,7 +88,7 @@ def unified(rows: DataFrame, source: str, raw: str = "raw") -> DataFrame:
         return F.coalesce(*[F.nullif(F.trim(F.try_element_at(F.col(raw), F.lit(k))), F.lit("")) for k in NAMES[name]])
 
     authors = first("authors")
-    listed = F.coalesce(F.when(F.startswith(authors, F.lit("[")), F.from_json(authors, "array<string>")), F.filter(F.transform(F.split(authors, r"[;,|]\s*"), F.trim), lambda a: a != ""), F.array().cast("array<string>"))
+    listed = F.coalesce(F.when(F.startswith(authors, F.lit("[")), F.from_json(authors, "array<string>")), F.filter(F.transform(F.split(authors, r"[;,|]\s*"), lambda a: F.trim(a)), lambda a: a != ""), F.array().cast("array<string>"))
     doi = first("doi")
     in_arxiv = F.contains(F.lower(F.to_json(F.col(raw))), F.lit("arxiv"))
     title, abstract = T.text_or_empty(first("title")), T.text_or_empty(first("abstract"))

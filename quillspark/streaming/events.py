@@ -44,16 +44,21 @@ def keyword_pass(papers: DataFrame, least: int = 2) -> DataFrame:
     return papers.where(hits(whole, [w.lower() for w in CORE]) >= least)
 
 
+def _watched(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark, which needs times with a zone; a batch as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, *, time: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, kind, n, total) of tumbling windows; on a stream events later than ``late`` are dropped."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _watched(events, time, late)
     out = rows.groupBy(F.window(time, width).alias("w"), F.col(kind)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), kind, "n", "total")
 
 
 def first_seen(events: DataFrame, keys: list[str], *, time: str = "ts", late: str = "2 hours") -> DataFrame:
     """The first event of each key; on a stream, within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _watched(events, time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", form: str = "parquet") -> StreamingQuery:
