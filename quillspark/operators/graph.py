@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from .. import model
 from ..functions.text import edge_id, text_or_empty
+from ..sources.tables import stored
 
 CONDITIONS = ("temporal_precedence", "mechanistic_chain", "intervention_test", "boundary_conditions")
 STRONG = 0.3
@@ -85,7 +86,9 @@ def pairs(scored: DataFrame, *, id: str = "paper_id", score: str = "dry_score",
     best = scored.where(F.col(score) > floor).orderBy(F.desc(score), pos)
     if most is not None:
         best = best.limit(most)
-    best = best.withColumn("rn", F.row_number().over(W.orderBy(F.desc(score), pos))).select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), "rn")
+    # three readers follow, and scores are dear
+    best = stored(best.select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), F.col(pos).alias("_pos")), "pair-scores")
+    best = best.withColumn("rn", F.row_number().over(W.orderBy(F.desc("s"), "_pos"))).drop("_pos")
     # each paper is sent to the blocks of those before it: an equi-join in place of a product
     width = 256
     block = lambda c: F.floor((F.col(c) - 1) / width)
@@ -104,6 +107,7 @@ def build(papers: DataFrame, dry: DataFrame, reviewed: DataFrame | None = None,
         return [id_.alias("id"), F.lit(kind).alias("type"), title.alias("title"), year.cast("int").alias("year"), levels.alias("knowledge_level")]
 
     nodes = papers.select(*node(pid, "paper", F.col("title"), F.coalesce(F.col("year"), F.lit(0)))).withColumn("seq", F.lit(1))
+    dry = stored(dry.select("paper_id", "dry_score", "pos", *([F.col("dry_detail")] if "dry_detail" in dry.columns else [])), "dry-scores")
     good = dry.where((pid != "") & (F.col("dry_score") > 0))
     b1 = F.concat(F.lit("b1-"), pid)
     nodes = nodes.unionByName(good.select(*node(b1, "score", F.format_string("B1:%.3f", "dry_score"), F.lit(0))).withColumn("seq", F.lit(2)))

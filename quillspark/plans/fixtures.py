@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A small table on all cores: it may be one row group, which one task would read and score alone."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if 1 << 20 < size < most else rows
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers: the first line, cut, is the title; years and citations come from the id."""
-    d = table(spark, sf_dir, "documents")
+    d = dealt(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").alias("paper_id"), F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("text").alias("abstract"), (2015 + F.col("doc_id") % 12).cast("int").alias("year"),
         (F.col("doc_id") * 37 % 131).cast("int").alias("citations"), "source", "lang", F.col("doc_id").alias("pos"), F.lit("").alias("venue"),
@@ -28,7 +34,7 @@ def token_ranks(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
     """(rank, token): ASCII tokens of six letters or more by the number of documents that have them."""
     from ..functions.text import tokens
 
-    each = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 6))).alias("token"))
+    each = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 6))).alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(most)
     return counts.select(F.row_number().over(W.orderBy(F.desc("n"), "token")).alias("rank"), "token")
 

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import dedup, graph, ontology, reports, scoring, screening, seeds
 from ..sources import readers
 from ..streaming import events as stream
-from .fixtures import BACKGROUND, INTENT, NOW, QUERY, papers, table, trade_graph
+from .fixtures import BACKGROUND, INTENT, NOW, QUERY, dealt, papers, table, trade_graph
 from .fixtures import seeds as corpus_seeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,7 +460,7 @@ def source_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, md5(string_agg(w, ' ' ORDER BY list_position(all_w, w))) AS abstract_md5 FROM w GROUP BY doc_id""")
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    d = dealt(table(spark, sf_dir, "documents")).select("doc_id", words.alias("w"))
     pairs = d.select("doc_id", F.posexplode("w").alias("p", "word")).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     index = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("i"))
     return index.select("doc_id", F.md5(readers.rebuilt_abstract(F.col("i"))).alias("abstract_md5"))
