@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Compact side tables up to this many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Tables up to this many bytes are dealt out to all cores.
+SPREAD_BYTES = 64 << 20
 #: Rows of texts in an Arrow batch.
 BATCH_ROWS = 1000
 
@@ -61,5 +63,11 @@ def bounded(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a query.
+
+    A small one may be a single row group, which one task would read and work on alone;
+    it is dealt out to all cores.  Larger tables are read in as many tasks as they have splits.
+    """
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return found.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < scan_bytes(found) < SPREAD_BYTES else found
