@@ -508,3 +508,69 @@ def enrichment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("quality") * 40 + F.col("toxic")).cast("int").alias("citations"))
     scorer = scoring.Composite(scoring.Context(QUERY, INTENT, BACKGROUND, NOW)).add_source(known).add_scorer("impact", 1.0)
     return scorer.score(papers(spark, sf_dir)).select("paper_id", "composite")
+
+
+@query(f"""WITH {_GRAPH}, a AS (SELECT *, CASE WHEN is_causal THEN 'already causal' WHEN base_score < 0.2 THEN 'no valid condition' END AS error FROM edges WHERE base_score > 0.1)
+SELECT id, CASE WHEN error IS NULL THEN 'causation' ELSE base_type END AS base_type, error, CASE WHEN error IS NULL THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence FROM a""")
+def promote_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = trade_graph(spark, sf_dir)[1].withColumn("history", F.array().cast("array<struct<action: string, timestamp: timestamp, details: map<string, string>>>")).where("base_score > 0.1")
+    asked = edges.select("id", F.array(F.when(F.col("base_score") < 0.2, "nonsense").otherwise("intervention_test")).alias("conditions"), F.lit(None).cast("double").alias("confidence"))
+    return graph.promote(edges, asked, F.lit("2026-01-01")).select("id", "base_type", "error", "causal_promotion.confidence")
+
+
+@query(f"WITH {_GRAPH} SELECT id, CASE WHEN is_causal THEN 'correlation' ELSE base_type END AS base_type, CASE WHEN NOT is_causal THEN 'not causal' END AS error FROM edges")
+def downgrade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = trade_graph(spark, sf_dir)[1].withColumn("history", F.array().cast("array<struct<action: string, timestamp: timestamp, details: map<string, string>>>"))
+    return graph.downgrade(edges, edges.select("id", F.lit("checked").alias("reason")), F.lit("2026-01-01")).select("id", "base_type", "error")
+
+
+@query("""WITH n AS (SELECT 'n-' || n_nationkey AS id, n_name AS title FROM nation) SELECT id, title || ' (split)' AS title FROM n UNION ALL SELECT id || '-' || i, 'part ' || i FROM n, range(1, 4) t(i)""")
+def split_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, sf_dir)
+    nodes = nodes.where(F.startswith("id", F.lit("n-"))).withColumn("seq", F.lit(0).cast("long"))
+    cuts = nodes.select("id", F.array(*[F.lit(f"part {i}") for i in (1, 2, 3)]).alias("children"))
+    return ontology.split(nodes, edges, cuts)[0].select("id", "title")
+
+
+@query("SELECT 'edge::n-' || n_nationkey || '::r-' || n_regionkey AS id, 1.0::DOUBLE AS base_score FROM nation")
+def reparent_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, sf_dir)
+    moves = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent"))
+    return ontology.reparent(nodes, edges.where("false"), moves)[0].select("id", "base_score")
+
+
+@query(f"WITH {_PAPERS}, m AS (SELECT 'years' AS branch, year::VARCHAR AS name FROM papers UNION ALL SELECT 'levels', 'L' || paper_id % 4 FROM papers) SELECT branch, name, count(*)::BIGINT AS n, greatest(0, count(*) - 8)::BIGINT AS more FROM m GROUP BY 1, 2")
+def knowledge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = papers(spark, sf_dir).withColumn("knowledge_level", F.array(F.concat(F.lit("L"), (F.col("paper_id") % 4).cast("string"))))
+    return reports.knowledge_tree(rows, corpus_seeds(spark, sf_dir)).where("branch <> 'seeds'").select("branch", "name", "n", "more")
+
+
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) SELECT lang AS value, count(*)::BIGINT AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE r <= 5) AS links FROM k GROUP BY lang")
+def domain_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = papers(spark, sf_dir).withColumn("knowledge_level", F.array().cast("array<string>"))
+    return reports.groups(rows, F.col("lang")).select("value", "n", F.array_join(F.transform("links", lambda x: x.cast("string")), ",").alias("links"))
+
+
+@query(f"""WITH {_dry_sql()}, s AS (SELECT d.paper_id, round(raw, 4) AS dry, pos, l.quality * 3.0 AS mean_score FROM dry d LEFT JOIN labels l ON d.paper_id = l.doc_id)
+SELECT paper_id, coalesce(nullif(mean_score, 0.0), dry)::DOUBLE AS best FROM s ORDER BY best DESC, pos LIMIT 10""")
+def best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("quality") * 3.0).alias("mean_score"))
+    return reports.best_first(_dry(spark, sf_dir).join(said, "paper_id", "left")).select("paper_id", "best")
+
+
+@query(f"""{_MATCH}, k AS (SELECT node_id AS seed_id, paper_id::VARCHAR AS paper_id, round(max(score), 3) AS score FROM m WHERE rank <= 5 GROUP BY 1, 2) SELECT * FROM k""")
+def near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir)
+    return reports.near_members(seeds.edges(_matches(spark, sf_dir)), p).select("seed_id", "paper_id", "score")
+
+
+@query(f"""WITH {_dry_sql()}, s AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM dry WHERE raw >= 0.25) SELECT paper_id FROM s WHERE r <= 8""")
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _dry(spark, sf_dir)
+    return screening.passing_first(scored, scored.where("passed"), 8).select("paper_id")
+
+
+@query("SELECT p_name AS ref, min('p-' || p_partkey) AS id FROM part GROUP BY p_name")
+def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
+    return ontology.resolve(nodes, nodes.select(F.col("title").alias("ref")).distinct())
