@@ -43,16 +43,18 @@ _SIDE = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|replies|reply|discussion|disqus|reviews?|reader-?\w+|feedback|forum|user-?content)(?:$|[\s_-])", re.I)
+#: The article's own header, whatever its class is called.
+_OWN_HEADER = re.compile(r"\b(?:article|entry|post|story|content)[_-]?(?:header|heading|title)\b", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body-?text|articlebody|text|prose)(?:$|[\s_-])", re.I)
 
 #: What each feature of a block means, in order.
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "beside", "inside", "in_article", "in_main_class", "in_nav", "in_footer", "in_header", "in_aside", "in_form", "in_side_class", "in_comments", "hidden", "heading", "paragraph", "list",
+    "beside", "inside", "marked_page", "in_article", "in_main_class", "in_nav", "in_footer", "in_header", "in_aside", "in_form", "in_side_class", "in_comments", "hidden", "heading", "paragraph", "list",
 )
 _FLAG = {name: i - 6 for i, name in enumerate(FEATURES) if i >= 6}
 #: ``beside``: an element beside the article encloses the block, that is one of these, or a header that is not the article's own.
-#: ``inside``: an element that holds the article encloses it.
+#: ``inside``: an element that holds the article encloses it.  ``marked_page``: the page has an article element.
 _BESIDE = tuple(_FLAG[k] for k in ("in_nav", "in_footer", "in_aside", "in_form", "in_side_class", "in_comments", "hidden"))
 
 
@@ -77,7 +79,7 @@ def _kind(name: str, attrs: str) -> tuple[str, ...]:
     if said:
         if _COMMENT.search(said):
             found.append("in_comments")
-        elif _SIDE.search(said) and name not in ("body", "html", "article", "main"):
+        elif _SIDE.search(_OWN_HEADER.sub(" ", said)) and name not in ("body", "html", "article", "main"):
             found.append("in_side_class")
         elif _MAIN.search(said):
             found.append("in_main_class")
@@ -193,6 +195,11 @@ def features(found: list[Block]) -> np.ndarray:
         x[i, 0], x[i, 1] = b.words, min(1.0, b.linked / b.words)
         x[i, 6:] = b.flags
     x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
+    flag = {name: x[:, 6 + i] for name, i in _FLAG.items()}
+    article = flag["in_article"] * (1 - flag["beside"])
+    if article.any():  # a page that marks its article leaves nothing to the names of classes
+        flag["inside"][:] = article
+        flag["marked_page"][:] = 1
     return x
 
 
@@ -292,6 +299,9 @@ def training_pages(n: int = 300, seed: int = 3) -> list[str]:
                 if not inside.startswith("<header"):
                     parts.insert(draw.randint(0, len(parts)), inside)
             body = start + "".join(parts) + end
+            if "article" in start or "main" in start:  # text beside a marked article has no mark of its own to need
+                before += f"<div><p>{words('-')}</p></div>" * draw.randint(0, 1)
+                after += f"<div class=\"content\">{words('-')}</div>" * draw.randint(0, 1)
         pages.append(f"<html><body>{before}{body}{after}</body></html>")
     return pages
 

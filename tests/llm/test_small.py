@@ -80,6 +80,10 @@ def test_html(spark, sf_dir):
       <p>One   two <b>th</b>ree</p><!-- no --><p>a &lt; b<br>next<ul><li>item</ul><script>if (a</p>) {}</script><section class="comments"><p>A long comment of a reader that goes on and on</p></section></article>
       <form><p>Your mail address please for our news</p></form><footer>&copy; me</footer></body></html>"""
     assert html_text.main_text(page, tree) == "Head & tail\nOne two three\na < b\nnext\nitem"
+    wrapped = '<div class="main-content"><p>Before it</p><article><div class="article-header"><h1>Title</h1></div><p>Body</p></article><p>After</p></div>'
+    assert html_text.main_text(wrapped, tree) == "Title\nBody"
+    classes = '<div class="page"><ul class="menu"><li>Home</li></ul><div class="entry-content"><p>Yes</p><div class="notice">Be warned of this</div><p>Too</p></div><div id="sidebar"><p>No, not this text</p></div></div>'
+    assert html_text.main_text(classes, tree) == "Yes\nToo"
     pages = spark.createDataFrame([(1, "u", page, "clash"), (2, None, None, "c"), (3, "u", "<p" * 5000, "c")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert out[1].n_chars == len(out[1].text) and out[2].text == "" and out[2].n_chars == 0
