@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from .. import model
 from ..functions.text import edge_id, text_or_empty
 from ..sources.tables import stored
+from .ranking import ranked
 
 CONDITIONS = ("temporal_precedence", "mechanistic_chain", "intervention_test", "boundary_conditions")
 STRONG = 0.3
@@ -252,4 +253,4 @@ def score_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     second = F.contains("_t", F.lit("B2")) | F.contains(F.lower("other_id"), F.lit("b2"))
     best = seen.groupBy(F.col("node_id").alias("paper_id")).agg(F.max(F.when(~second, F.col("base_score"))).alias("b1"), F.max(F.when(second, F.col("base_score"))).alias("b2"))
     rows = papers.join(best, "paper_id", "left").withColumn("b1", F.coalesce("b1", F.lit(0.0))).withColumn("b2", F.coalesce("b2", F.lit(0.0)))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("b2"), F.desc("b1"), "title", "paper_id")))
+    return ranked(rows, F.desc("b2"), F.desc("b1"), "title", "paper_id")

@@ -110,7 +110,7 @@ def merge(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFr
     onto = known.select(F.col("b").alias("_from"), F.col("a").alias("_to"))
     moved = edges
     for end in ("source_id", "target_id"):
-        moved = moved.join(F.broadcast(onto.withColumnsRenamed({"_from": end, "_to": f"_{end}"})), end, "left")
+        moved = moved.join(onto.withColumnsRenamed({"_from": end, "_to": f"_{end}"}), end, "left")
     moved = moved.where(F.col("_source_id").isNotNull() | F.col("_target_id").isNotNull())
     moved = moved.withColumn("source_id", F.coalesce("_source_id", "source_id")).withColumn("target_id", F.coalesce("_target_id", "target_id")).where("source_id <> target_id")
     moved = moved.withColumn("id", F.concat(F.lit("edge::"), F.col("source_id"), F.lit("::"), F.col("target_id"))).select(*edges.columns)

@@ -65,9 +65,10 @@ def score_means(papers: DataFrame) -> DataFrame:
 
 
 def passed_and_below(scored: DataFrame, below: int = 10, pos: str = "pos") -> DataFrame:
-    """All that passed, and the best ``below`` of the others, in order."""
-    order = W.partitionBy("passed").orderBy(F.desc("dry_score"), pos)
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("passed") | (F.col("place") <= below))
+    """All that passed, and the best ``below`` of the others with their ``place``."""
+    rest = scored.where(~F.col("passed")).orderBy(F.desc("dry_score"), pos).limit(below)
+    rest = rest.withColumn("place", F.row_number().over(W.orderBy(F.desc("dry_score"), pos)))
+    return scored.where("passed").withColumn("place", F.lit(None).cast("int")).unionByName(rest)
 
 
 def near_transfer(edges: DataFrame, papers: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

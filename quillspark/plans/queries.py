@@ -222,7 +222,7 @@ def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_dry_sql()}, s AS (SELECT d.paper_id::VARCHAR AS paper_id, title, CASE WHEN round(raw, 4) > 0 THEN round(raw, 4) ELSE 0.0 END AS b1, coalesce((1.0 + l.quality + l.toxic) / 5.0, 0.0)::DOUBLE AS b2 FROM dry d LEFT JOIN labels l ON d.paper_id = l.doc_id)
-SELECT paper_id, b1, b2, row_number() OVER (ORDER BY b2 DESC, b1 DESC, title, paper_id)::INT AS rank FROM s""")
+SELECT paper_id, b1, b2, row_number() OVER (ORDER BY b2 DESC, b1 DESC, title, paper_id)::BIGINT AS rank FROM s""")
 def score_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (1.0 + F.col("quality") + F.col("toxic")).alias("mean_score"))
     p = papers(spark, sf_dir)
@@ -244,7 +244,7 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_dry_sql()}, s AS (SELECT *, round(raw, 4) AS dry_score, raw >= 0.25 AS passed FROM dry), k AS (SELECT paper_id, passed, row_number() OVER (PARTITION BY passed ORDER BY dry_score DESC, pos)::INT AS place FROM s)
-SELECT * FROM k WHERE passed OR place <= 10""")
+SELECT paper_id, passed, CASE WHEN NOT passed THEN place END AS place FROM k WHERE passed OR place <= 10""")
 def passed_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.passed_and_below(_dry(spark, sf_dir)).select("paper_id", "passed", "place")
 
