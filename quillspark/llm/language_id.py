@@ -31,6 +31,8 @@ from ._words import groups
 #: Labelled rows per language, and the longest row taken, that the model may be fitted on.
 TRAIN_ROWS = 400
 TRAIN_ROW_BYTES = 100_000
+#: Rows in all, shared by the languages, and the most languages (the most frequent) that a model tells apart.
+TRAIN_ALL, LANGUAGES = 4000, 200
 UNDETERMINED = "und"
 #: Words at which the evidence counts in full; it keeps the score of one-word texts below 1.
 _FULL = 200
@@ -156,7 +158,7 @@ def train(rows: Iterable[tuple[str, str]]) -> Model:
 
 
 def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", held_out=None, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most about ``rows`` labelled texts a language, chosen by a hash of the key.
+    """At most about ``rows`` labelled texts a language (``TRAIN_ALL`` in all), chosen by a hash of the key.
 
     Languages are counted first (no text is read), which turns the bound into a
     threshold on the hash: no sort and no shuffle of texts.
@@ -164,9 +166,10 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(F.col(lang))) > 0))
     if held_out is not None:
         known = known.where(~held_out)
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(500).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
     if not counts:
         return []
+    rows = max(1, min(rows, TRAIN_ALL // len(counts)))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
     unit = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000_000)) / F.lit(1e6)
     # the length test reads texts only of rows that the hash lets through
