@@ -41,7 +41,7 @@ from ._words import U64, Words, groups, mark, mix, prefix_sums, span_hashes, win
 
 WINDOW = 50
 #: Compressed input to a hash bucket, and the most buckets.
-BUCKET_BYTES, BUCKETS = 12 << 20, 1 << 16
+BUCKET_BYTES, BUCKETS = 6 << 20, 1 << 16
 #: Bits of the map of documents that have hits or spans.
 SLOTS = 1 << 26
 _LAST = (1 << 63) - 1
