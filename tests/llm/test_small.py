@@ -1,7 +1,6 @@
 """Edge rows and brute-force comparisons on small tables."""
 
 import random
-import zlib
 
 import pyarrow as pa
 import pytest
@@ -209,8 +208,6 @@ def test_quality_rules(spark, odd, sf_dir):
         want = brute.base_counts(r.text)
         assert {k: r[k] for k in want} == want
         assert r.base_failed == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"]) and not (r.kept and r.base_failed)
-    judged = quality_rules.apply(docs, model).join(labels, "doc_id").where("NOT base_failed").collect()
-    assert sum(r.kept == bool(r["quality"] if not isinstance(r["quality"], float) else 0) for r in judged) >= 0 and len(judged)
     good = quality_rules.apply(docs, model, drop=("text",)).withColumnRenamed("quality", "p").join(labels, "doc_id").where("NOT base_failed").collect()
     assert sum(r.kept == bool(r.quality) for r in good) >= 0.95 * len(good)
     assert quality_rules.fit(empty(spark), labels.limit(0)) is None
@@ -325,7 +322,3 @@ def test_substring_dedup(spark, odd):
     digest = substring_dedup.dedup(df, digest=True).where("doc_id = 8").first()
     assert digest.kept_sha256 == brute.sha("!!! *** 123")
     assert substring_dedup.dedup(empty(spark)).count() == 0
-
-
-def test_crc_of_ids():
-    assert zlib.crc32(b"") == 0
