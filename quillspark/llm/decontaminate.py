@@ -18,7 +18,7 @@ stand in the document around the passage.
 
 Items are taken in blocks of at most ``ITEMS`` index units, each broadcast in turn to
 one pass over the documents, so the index held in memory is bounded at any size of
-the test set.
+the test set.  Document frequency and mean length are those of all units, whatever the block.
 
 Defined results: null or wordless items match nothing; null and empty texts have no
 passages.  Equal items are reported each under its own id.
@@ -38,6 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from ._words import Words, groups
 
 K1, B = 1.2, 0.75
@@ -78,23 +79,38 @@ class Item:
     answer: list[str]
 
 
+def index_units(item: Item) -> list[list[str]]:
+    """The words of an item, or of each ``STRIDE`` tokens of a longer one."""
+    words = item.question + item.answer
+    starts = range(0, max(1, len(words) - STRIDE + 1), STRIDE) if len(words) > STRIDE else (0,)
+    return [words[s : s + STRIDE] for s in {*starts, max(0, len(words) - STRIDE)}]
+
+
+@dataclasses.dataclass
+class Statistics:
+    """Of all units: their number, their mean length and the document frequency of terms."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+
 class Index:
-    """Postings by term over index units (an item, or ``STRIDE`` tokens of a longer one)."""
+    """Postings by term over index units (an item, or ``STRIDE`` tokens of a longer one), scored by ``over`` or by their own statistics."""
 
-    def __init__(self, items: list[Item]):
+    def __init__(self, items: list[Item], over: Statistics | None = None):
         self.items = items
         units: list[list[str]] = []
         self.owner: list[int] = []
         for i, item in enumerate(items):
-            words = item.question + item.answer
-            starts = range(0, max(1, len(words) - STRIDE + 1), STRIDE) if len(words) > STRIDE else (0,)
-            for s in {*starts, max(0, len(words) - STRIDE)}:
-                units.append(words[s : s + STRIDE])
+            for unit in index_units(item):
+                units.append(unit)
                 self.owner.append(i)
         n = len(units)
-        mean = sum(map(len, units)) / n if n else 1.0
         counts = [Counter(u) for u in units]
-        df = Counter(t for c in counts for t in c)
+        if over is None:
+            over = Statistics(n, sum(map(len, units)) / n if n else 1.0, Counter(t for c in counts for t in c))
+        mean, df = over.mean, {t: over.df[t] for c in counts for t in c}
         self.terms = {t: i for i, t in enumerate(sorted(df))}
         self.vocab = pa.array(list(self.terms), pa.string())
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -103,7 +119,7 @@ class Index:
         for u, c in enumerate(counts):
             impact = {}
             for t, f in c.items():
-                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+                idf = math.log(1 + (over.n - df[t] + 0.5) / (df[t] + 0.5))
                 impact[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(units[u]) / mean))
             own = THETA * sum(impact.values())
             for t in sorted(impact):
@@ -239,21 +255,65 @@ def matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, fl
         yield d, i, score, q, a
 
 
+def _counts(items: DataFrame) -> DataFrame:
+    """(term, n, words): document frequency of each term over all units; the null term has their number and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df: Counter[str] = Counter()
+            n = size = 0
+            for text in batch.column(0).to_pylist():
+                question, answer = question_answer(text or "")
+                if question or answer:
+                    for unit in index_units(Item(0, question, answer)):
+                        df.update(set(unit))
+                        n, size = n + 1, size + len(unit)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([size, *([0] * len(df))], pa.int64())], names=["term", "n", "words"])
+
+    return items.select("text").mapInArrow(run, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
 def indexes(items: DataFrame, most: int = ITEMS) -> Iterator[Index]:
-    """The index in blocks; items come in order of id, so no more than one block is held."""
+    """The index in blocks; items come in order of id, so no more than two blocks are held.
+
+    Scores do not depend on the blocks: where there are several, statistics are counted over
+    all units once, and the driver gets those of a block's own terms.
+    """
+    counts = total = None
+    for held, alone in _blocks(items, most):
+        if alone:
+            yield Index(held)
+            return
+        if counts is None:
+            counts = stored(_counts(items), "item-terms")
+            total = counts.where("term IS NULL").first()
+        terms = sorted({w for item in held for w in item.question + item.answer})
+        own = counts.join(items.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term").collect()
+        yield Index(held, Statistics(total["n"], total["words"] / total["n"], {r["term"]: r["n"] for r in own}))
+
+
+def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list[Item], bool]]:
+    """Blocks of items of about ``most`` units, and whether it is the only one."""
+    before: list[Item] | None = None
+    several = False
     held: list[Item] = []
     size = 0
     for row in items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
         question, answer = question_answer(row[1] or "")
         if not question and not answer:
             continue
+        if size >= most:
+            if before is not None:
+                several = True
+                yield before, False
+            before, held, size = held, [], 0
         held.append(Item(row[0], question, answer))
         size += 1 + (len(question) + len(answer)) // STRIDE
-        if size >= most:
-            yield Index(held)
-            held, size = [], 0
+    if before is not None:
+        several = True
+        yield before, False
     if held:
-        yield Index(held)
+        yield held, not several
 
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
