@@ -91,6 +91,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), n.cast("int")), "")
 
 
+def uncut(mixed: DataFrame) -> DataFrame:
+    """A mix whose fractional repetitions end between documents: the one at the border is taken whole or not at all, whichever is nearer to the target."""
+    extra = F.when(F.col("extra") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    return mixed.withColumn("extra", extra).withColumn("taken", F.col("repeats") * F.col("size") + F.col("extra"))
+
+
 def repeat(mixed: DataFrame) -> DataFrame:
     """A row for each repetition of a mix that keeps ``text``: whole copies, and the taken words of a fractional one."""
     whole = F.col("extra") == F.col("size")

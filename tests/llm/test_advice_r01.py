@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import decontaminate
+from quillspark.llm import decontaminate, mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +21,17 @@ def test_item_scores_do_not_depend_on_blocks(spark):
 
     whole = impacts(10_000)
     assert whole and all(impacts(most) == whole for most in (1, 8, 20))
+
+
+def test_mix_takes_whole_documents(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(draw.randrange(1, 60))), "en", draw.choice("abc"), 0) for i in range(120)]
+    texts = {r[1] for r in rows}
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = pipeline.mix(spark, docs, "").collect()
+    assert got and {r.text for r in got} <= texts
+    words = lambda s: sum(len(r.text.split()) for r in got if r.source == s)
+    for r in mixing.mix(docs).select("source", "source_size", "target").distinct().collect():
+        assert abs(words(r.source) - r.target) <= 31 and words(r.source) <= 2 * r.source_size
