@@ -7,6 +7,10 @@ C, with exclusion of the symbols already tried) leads to the next shorter one,
 and the last resort is a uniform code over the alphabet.  A text goes to the
 language that codes it in the fewest bits.
 
+Every language of the labelled rows is learned, however rare: at most about 400 rows
+of up to 100,000 bytes each (its shortest row where all are longer), and fewer, but no
+less than about 20, where more than ten languages share 4,000 rows.
+
 Because the statistics are frozen, every context's code lengths are resolved
 once, on the driver, into a table [context, byte, language]; scoring a batch is
 then a few array look-ups per byte.
@@ -26,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import groups
+from ._words import groups, merged
 
 #: Labelled rows per language, and the longest row taken, that the model may be fitted on.
 TRAIN_ROWS = 400
 TRAIN_ROW_BYTES = 100_000
-#: Rows in all, shared by the languages, and the most languages (the most frequent) that a model tells apart.
-TRAIN_ALL, LANGUAGES = 4000, 200
+#: Rows in all, shared by the languages, of which each has at least ``TRAIN_LEAST``.
+TRAIN_ALL, TRAIN_LEAST = 4000, 20
+#: Languages in one table of code lengths; a model of more has several tables, of which a worker holds one at a time.
+LANGUAGES = 200
+#: Bytes of text that are scored with one of several tables before the next is loaded.
+_ROUND = 32 << 20
 UNDETERMINED = "und"
 #: Words at which the evidence counts in full; it keeps the score of one-word texts below 1.
 _FULL = 200
@@ -82,6 +90,47 @@ class Model:
                 named[i], score[i] = self.languages[best[j]], share[j, best[j]]
         return named, score
 
+    def lead(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text the best language, its nats a symbol, and the weight of all languages relative to it."""
+        nats, size = self.totals(texts)
+        mean = nats / np.maximum(size, 1)[:, None]
+        least = mean.min(axis=1)
+        weight = np.exp(-(mean - least[:, None]) * np.minimum(size, _FULL)[:, None]).sum(axis=1)
+        return [self.languages[b] for b in nats.argmin(axis=1)], least, weight
+
+
+def predict_by_parts(parts: Iterable[Model], texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """``Model.predict`` of all parts' languages together, holding one part at a time."""
+    named, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+    lines = [_normal(texts[i]) for i in live]
+    full = np.minimum([len(t) for t in lines], _FULL)
+    best, least, weight = [""] * len(live), np.full(len(live), np.inf), np.zeros(len(live))
+    for part in parts if live else ():
+        for at, to in _spans(lines):
+            name, low, more = part.lead(lines[at:to])
+            old, f = least[at:to], full[at:to]
+            new = np.minimum(old, low)
+            weight[at:to] = weight[at:to] * np.exp(-np.where(np.isinf(old), 0, old - new) * f) + more * np.exp(-(low - new) * f)
+            for j in np.flatnonzero(low < old).tolist():
+                best[at + j] = name[j]
+            least[at:to] = new
+    for j, i in enumerate(live):
+        named[i], score[i] = best[j], 1 / weight[j]
+    return named, score
+
+
+def _spans(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about 2 MB."""
+    at = size = 0
+    for to, line in enumerate(lines, 1):
+        size += len(line)
+        if size >= 2 << 20:
+            yield at, to
+            at, size = to, 0
+    if at < len(lines):
+        yield at, len(lines)
+
 
 def _blend(levels: list[np.ndarray]) -> np.ndarray:
     """Code lengths in nats of each symbol, from counts [context, symbol] of ever shorter contexts."""
@@ -104,16 +153,38 @@ def _blend(levels: list[np.ndarray]) -> np.ndarray:
 
 
 def train(rows: Iterable[tuple[str, str]]) -> Model:
-    """Fit the frozen statistics to (language, text) pairs."""
+    """Fit the frozen statistics of one table to (language, text) pairs."""
+    texts = _by_language(rows)
+    return _fit(texts, _bytes_of(texts))
+
+
+def parts(rows: Iterable[tuple[str, str]], most: int | None = None) -> Iterator[Model]:
+    """The same statistics in tables of at most ``most`` languages each, over one alphabet."""
+    texts = _by_language(rows)
+    seen, names, most = _bytes_of(texts), sorted(texts), most or LANGUAGES
+    for at in range(0, max(1, len(names)), most):
+        yield _fit({k: texts[k] for k in names[at : at + most]}, seen)
+
+
+def _by_language(rows: Iterable[tuple[str, str]]) -> dict[str, list[bytes]]:
     texts: dict[str, list[bytes]] = {}
     for language, text in rows:
         texts.setdefault(language, []).append(_normal(text or ""))
-    languages = sorted(texts)
-    joined = {k: b"   " + b"   ".join(v) + b"   " for k, v in texts.items()}
+    return texts
+
+
+def _bytes_of(texts: dict[str, list[bytes]]) -> np.ndarray:
+    """Which bytes stand in any text, letters and the space included."""
     seen = np.zeros(256, bool)
-    for data in joined.values():
-        seen |= np.bincount(np.frombuffer(data, np.uint8), minlength=256) > 0
+    for lines in texts.values():
+        seen |= np.bincount(np.frombuffer(b"".join(lines), np.uint8), minlength=256) > 0
     seen[32] = seen[97:123] = True
+    return seen
+
+
+def _fit(texts: dict[str, list[bytes]], seen: np.ndarray) -> Model:
+    languages = sorted(texts)
+    joined = {k: b"   " + b"   ".join(v) + b"   " for k, v in texts.items()}
     symbol = np.full(256, 1, np.uint8)  # 1: a byte never seen in training
     symbol[32] = 0
     others = np.flatnonzero(seen & (np.arange(256) != 32))
@@ -158,7 +229,7 @@ def train(rows: Iterable[tuple[str, str]]) -> Model:
 
 
 def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", held_out=None, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most about ``rows`` labelled texts a language (``TRAIN_ALL`` in all), chosen by a hash of the key.
+    """At most about ``rows`` labelled texts of every language (``TRAIN_ALL`` in all, or ``TRAIN_LEAST`` each), chosen by a hash of the key.
 
     Languages are counted first (no text is read), which turns the bound into a
     threshold on the hash: no sort and no shuffle of texts.
@@ -166,30 +237,45 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(F.col(lang))) > 0))
     if held_out is not None:
         known = known.where(~held_out)
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     if not counts:
         return []
-    rows = max(1, min(rows, TRAIN_ALL // len(counts)))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
+    rows = max(1, min(rows, max(TRAIN_LEAST, TRAIN_ALL // len(counts))))
+    if len(counts) <= LANGUAGES:
+        share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
+        shared, share = known, share[F.col(lang)]
+    else:
+        shares = docs.sparkSession.createDataFrame([(k, min(1.0, rows / n)) for k, n in counts.items()], "_lang string, _share double")
+        shared, share = known.join(F.broadcast(shares), F.col(lang) == F.col("_lang")), F.col("_share")
     unit = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000_000)) / F.lit(1e6)
     # the length test reads texts only of rows that the hash lets through
-    picked = known.where(unit < share[F.col(lang)]).where(F.octet_length(text) <= TRAIN_ROW_BYTES).select(lang, text, key)
-    got = sorted(((r[0], r[1], r[2]) for r in picked.collect()), key=lambda r: (r[0], str(r[2]), r[1]))
-    return [(k, t) for k, t, _ in got]
+    picked = shared.where(unit < share).where(F.octet_length(text) <= TRAIN_ROW_BYTES).select(lang, text, key)
+    got = [(r[0], r[1], r[2]) for r in picked.collect()]
+    missing = sorted(counts.keys() - {k for k, _, _ in got})
+    if missing:  # no row, or long ones only: the shortest, whole
+        few = known.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in missing], "_lang string")), F.col(lang) == F.col("_lang"))
+        least = few.groupBy(lang).agg(F.min_by(F.struct(text, key), F.struct(F.octet_length(text), F.xxhash64(key, text))).alias("r"))
+        got += [(r[0], r["r"][0], r["r"][1]) for r in least.collect()]
+    return [(k, t) for k, t, _ in sorted(got, key=lambda r: (r[0], str(r[2]), r[1]))]
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` without the columns ``drop``, with ``lang_pred`` and ``score`` (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model | Iterable[Model], *, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without the columns ``drop``, with ``lang_pred`` and ``score`` (0 to 1), by a model or its ``parts``."""
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in ([model] if isinstance(model, Model) else model)]
     docs = docs.drop("lang_pred", "score")
     kept = [c for c in docs.columns if c not in drop]
     schema = docs.select(*[f"`{c}`" for c in kept]).schema.add("lang_pred", "string").add("score", "double")
 
+    def loaded() -> Iterator[Model]:
+        for s in shared:
+            yield s.value
+            s.__dict__.pop("_value", None)  # read again from the worker's file in the next round
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part, texts in groups(batch, text, 2 << 20):
-                named, score = m.predict(texts.to_pylist())
+        one = len(shared) == 1
+        for batch in batches if one else merged(batches, _ROUND):
+            for part, texts in groups(batch, text, 2 << 20 if one else _ROUND):
+                named, score = shared[0].value.predict(texts.to_pylist()) if one else predict_by_parts(loaded(), texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], pa.array(named, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ def _crc(key: str = "doc_id"):
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(_crc() % 4 == 2, F.lit(False))
-    model = language_id.train(language_id.training_rows(docs, held_out=held_out))
+    model = language_id.parts(language_id.training_rows(docs, held_out=held_out))
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, drop=("text",))
 
 
