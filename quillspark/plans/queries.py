@@ -221,6 +221,12 @@ def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pairs(_dry(spark, sf_dir), most=200).select("source_id", "target_id", "base_score")
 
 
+@query(f"""WITH {_dry_sql()}, k AS (SELECT paper_id, round(raw, 4) AS s, row_number() OVER (ORDER BY round(raw, 4) DESC, pos) AS rn FROM dry WHERE round(raw, 4) > 0.2)
+SELECT a.paper_id::VARCHAR AS source_id, b.paper_id::VARCHAR AS target_id, b.s AS base_score FROM k a JOIN k b ON a.rn < b.rn""")
+def pair_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pairs(_dry(spark, sf_dir)).select("source_id", "target_id", "base_score")
+
+
 @query(f"""WITH {_dry_sql()}, s AS (SELECT d.paper_id::VARCHAR AS paper_id, title, CASE WHEN round(raw, 4) > 0 THEN round(raw, 4) ELSE 0.0 END AS b1, coalesce((1.0 + l.quality + l.toxic) / 5.0, 0.0)::DOUBLE AS b2 FROM dry d LEFT JOIN labels l ON d.paper_id = l.doc_id)
 SELECT paper_id, b1, b2, row_number() OVER (ORDER BY b2 DESC, b1 DESC, title, paper_id)::BIGINT AS rank FROM s""")
 def score_index(spark: SparkSession, sf_dir: str) -> DataFrame:
