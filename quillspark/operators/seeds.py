@@ -101,18 +101,19 @@ def level_proximity(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
-def retrieve(new: DataFrame, known: DataFrame, top: int = 15) -> DataFrame:
+def retrieve(new: DataFrame, known: DataFrame, top: int = 15, block: int = 256) -> DataFrame:
     """(new_id, paper_id, relevance, rank): the known papers most like each new one.
 
-    ``new`` is a handful of papers under review; they are the side that is gathered, and each task keeps
-    its own best ``top`` for each of them before anything is shuffled.  Half of the relevance
+    ``new`` is gathered into rows of about ``block`` papers, each of which meets every known paper; each task keeps
+    its own best ``top`` for each new paper before anything is shuffled.  Half of the relevance
     is the Jaccard overlap of words over three letters of the title (and keywords), half the proximity of levels.
     """
     words = lambda df: F.array_distinct(F.concat(T.long_words(F.col("title")), F.transform(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), lambda k: F.lower(F.trim(k))) if "keywords" in df.columns else F.array().cast("array<string>")))
     a = new.select(F.col("paper_id").alias("new_id"), words(new).alias("a_w"), F.col("knowledge_level").alias("a_l"))
     b = known.select("paper_id", T.long_words(F.col("title")).alias("b_w"), F.col("knowledge_level").alias("b_l"))
-    packed = a.agg(F.collect_list(F.struct("new_id", "a_w", "a_l")).alias("_new"))
-    rows = b.join(F.broadcast(packed)).select("paper_id", "b_w", "b_l", F.explode("_new").alias("n"))
+    blocks = -(-a.count() // block) or 1
+    packed = a.groupBy(F.pmod(F.xxhash64("new_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("new_id", "a_w", "a_l")).alias("_new"))
+    rows = b.crossJoin(F.broadcast(packed) if blocks <= 64 else packed).select("paper_id", "b_w", "b_l", F.explode("_new").alias("n"))
     union = F.greatest(F.size(F.array_union(F.col("n.a_w"), F.col("b_w"))), F.lit(1))
     score = 0.5 * (F.size(F.array_intersect(F.col("n.a_w"), F.col("b_w"))) / union) + 0.5 * level_proximity(F.col("n.a_l"), F.col("b_l"))
     scored = rows.select(F.col("n.new_id").alias("new_id"), "paper_id", score.alias("relevance")).where("new_id <> paper_id")

@@ -450,6 +450,15 @@ def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("new_id", "paper_id", F.round("relevance", 6).alias("relevance"), "rank")
 
 
+@query(f"""WITH {_PAPERS}, w AS (SELECT paper_id, list_distinct(list_transform(list_filter(string_split_regex(trim(title), '\\s+'), lambda x: length(x) > 3), lambda x: lower(x))) AS w, [1 + paper_id % 6] AS l FROM papers
+), s AS (SELECT a.paper_id AS new_id, b.paper_id, 0.5 * (len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)) + 0.5 * (1.0 - 0.15 * abs(a.l[1] - b.l[1])) AS r FROM w a, w b WHERE a.paper_id % 100 = 0 AND a.paper_id <> b.paper_id
+), k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(r, 9) DESC, paper_id)::INT AS rank FROM s) SELECT new_id, paper_id, round(r, 6) AS relevance, rank FROM k WHERE rank <= 15""")
+def retrieval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir).withColumn("knowledge_level", F.array(F.concat(F.lit("L"), (1 + F.col("paper_id") % 6).cast("string"), F.lit("-x"))))
+    found = seeds.retrieve(p.where("paper_id % 100 = 0"), p)
+    return found.select("new_id", "paper_id", F.round("relevance", 6).alias("relevance"), "rank")
+
+
 @query("""WITH r AS (SELECT page_id, 'https://doi.org/10.5555/AB.' || page_id AS doi, 'arXiv:' || (2000 + page_id % 20) || '.' || lpad((page_id * 7)::VARCHAR, 5, '0') || 'v3' AS aid, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) AS title, url FROM pages)
 SELECT page_id::VARCHAR AS paper_id, trim(title) AS title, '10.5555/ab.' || page_id AS doi, regexp_extract(aid, '([0-9]{4}\\.[0-9]{4,5})', 1) AS arxiv_id, (1990 + page_id % 30)::INT AS year, url FROM r WHERE trim(title) <> ''""")
 def source_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:

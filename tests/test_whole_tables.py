@@ -1,5 +1,6 @@
 """Queries over all their rows, where others of the same kind take some."""
 
+from quillspark.operators import seeds
 from quillspark.plans import queries
 
 
@@ -8,3 +9,13 @@ def test_pair_edges_of_more_than_200_papers(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "_dry", lambda spark, sf_dir: scored)
     got = queries.QUERIES["pair_edges_whole"](spark, sf_dir)
     assert got.count() == got.distinct().count() == 230 * 229 // 2
+
+
+def test_retrieval_takes_every_hundredth_paper(spark, sf_dir):
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 100 = 0").select("doc_id").collect()}
+    assert {r.new_id for r in queries.QUERIES["retrieval_whole"](spark, sf_dir).collect()} == ids
+
+
+def test_retrieval_does_not_depend_on_blocks(spark):
+    papers = spark.range(40).selectExpr("id AS paper_id", "concat('paper about thing', id % 7, ' with part', id % 3) AS title", "array('L1-x') AS knowledge_level")
+    assert sorted(seeds.retrieve(papers, papers, block=9).collect()) == sorted(seeds.retrieve(papers, papers).collect())
