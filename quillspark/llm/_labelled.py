@@ -6,24 +6,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import drawn, share
+
 
 def sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int, row_bytes: int, held_out: Column | None = None) -> list[tuple[str, int]]:
     """About ``per_class`` (text, 0/1) rows of each class, by a hash of doc_id, none longer than ``row_bytes``.
 
     The bound becomes a threshold on the hash, so what is joined to the documents is
     small and is broadcast.  A document with several labels has the largest of them.
+    Where many documents share a drawn id, no more than twice the bound are taken, by a hash of the text.
     """
     known = docs.sparkSession.createDataFrame([], "doc_id long, y int") if label not in labels.columns else labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col(label) > 0).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     if held_out is not None:
         known = known.where(~held_out)
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    share = F.lit(0.0)
+    largest = F.lit(-1).cast("long")
     for y, n in counts.items():
-        share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id")), F.lit(1_000_000)) / F.lit(1e6)
-    picked = known.where(unit < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= row_bytes).collect()
+        largest = F.when(F.col("y") == y, F.lit(share(per_class, n))).otherwise(largest)
+    picked = known.where(drawn(largest, "doc_id", seed=29))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= row_bytes)
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * per_class * max(1, len(counts))).collect()
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is two aggregations and two joins on the edges, each written to the
-shared folder, so no vertex's neighbours are gathered anywhere and no lineage grows.
+shared folder, so no vertex's neighbours are gathered anywhere and no lineage grows; a
+round's tables go when the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import forget, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,5 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = found
         if not seen[0]:
             break
-        now = stored(_star(stored(_star(now, True), "star"), False), "star")
+        large = stored(_star(now, True), "star")
+        before, now = now, stored(_star(large, False), "star")
+        forget(before, large)
     return now

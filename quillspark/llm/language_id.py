@@ -11,9 +11,12 @@ Every language of the labelled rows is learned, however rare: at most about 400
 of up to 100,000 bytes each (its shortest row where all are longer), and fewer, but no
 less than about 20, where more than ten languages share 4,000 rows.
 
-Because the statistics are frozen, every context's code lengths are resolved
-once, on the driver, into a table [context, byte, language]; scoring a batch is
-then a few array look-ups per byte.
+Because the statistics are frozen and the symbols seen after a context were all seen
+after its shorter forms, what an escape excludes is known for each context: two
+numbers a context (the cost of being coded one level down, and of escaping that too)
+and one number a seen symbol make the whole code.  So a language is a few sorted
+arrays of what it has seen, and languages add to the model what they hold themselves.
+A batch is scored once for each distinct run of four symbols in it.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0;
 an empty training set gives ``und`` for every row.  Extra input columns are kept
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import drawn, share
 from ._words import groups, merged
 
 #: Labelled rows per language, and the longest row taken, that the model may be fitted on.
@@ -37,9 +41,9 @@ TRAIN_ROWS = 400
 TRAIN_ROW_BYTES = 100_000
 #: Rows in all, shared by the languages, of which each has at least ``TRAIN_LEAST``.
 TRAIN_ALL, TRAIN_LEAST = 4000, 20
-#: Languages in one table of code lengths; a model of more has several tables, of which a worker holds one at a time.
+#: Languages in one part of a model; a worker holds one part at a time.
 LANGUAGES = 200
-#: Bytes of text that are scored with one of several tables before the next is loaded.
+#: Bytes of text that are scored with one of several parts before the next is loaded.
 _ROUND = 32 << 20
 UNDETERMINED = "und"
 #: Words at which the evidence counts in full; it keeps the score of one-word texts below 1.
@@ -53,43 +57,106 @@ def _normal(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_LETTERS)
 
 
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted ``keys``, and which of ``wanted`` are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _tables(parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs, for each row of totals and kinds [context, 2], of being coded there and of escaping from there.
+
+    ``parent`` are those of the shorter context, ``child`` what the longer one excludes from them; where nothing
+    is left the level is passed over at no cost.
+    """
+    left, kinds = parent[:, 0] - child[:, 0], parent[:, 1] - child[:, 1]
+    coded = np.log(np.maximum(left + kinds, 1))
+    return coded.astype(np.float32), np.where(left > 0, coded - np.log(np.maximum(kinds, 1)), 0.0).astype(np.float32)
+
+
+class Tree:
+    """The frozen statistics of one language, over an alphabet of ``a`` symbols."""
+
+    def __init__(self, ids: np.ndarray, a: int):
+        self.a = a
+        ids = ids.astype(np.int64)
+        four, n4 = np.unique(((ids[:-3] * a + ids[1:-2]) * a + ids[2:-1]) * a + ids[3:], return_counts=True)
+        n3, n2 = (np.bincount(four % m, n4, m).astype(np.int64) for m in (a**3, a * a))  # of (context, symbol), by the context's size + 1
+        three = np.flatnonzero(n3)
+        two = n2.reshape(a, a)
+        one = two.sum(axis=0)
+
+        # totals and kinds of each context, and what a longer context takes away from those of the next shorter one
+        c3, first = np.unique(four // a, return_index=True)
+        own3 = np.stack([np.add.reduceat(n4, first), np.diff(np.append(first, len(four)))], 1) if len(four) else np.zeros((0, 2), np.int64)
+        own2 = np.stack([n3.reshape(-1, a).sum(axis=1), (n3.reshape(-1, a) > 0).sum(axis=1)], 1)
+        own1 = np.stack([two.sum(axis=1), (two > 0).sum(axis=1)], 1)
+        own0 = np.array([[one.sum(), (one > 0).sum()]])
+        gone3 = np.stack([np.add.reduceat(n3[four % a**3], first), own3[:, 1]], 1) if len(four) else own3  # counts one level down
+        gone2 = np.stack([np.bincount(three // a, two.reshape(-1)[three % (a * a)], a * a), own2[:, 1]], 1)
+        gone1 = np.stack([((two > 0) * one).sum(axis=1), own1[:, 1]], 1)
+
+        self.four, self.three, self.contexts = four, three, c3
+        total, kinds = (own3[:, i].astype(np.float64) for i in (0, 1))
+        escape = (np.log(total + kinds) - np.log(kinds)).astype(np.float32)
+        self.cost4 = (np.repeat(np.log(total + kinds), own3[:, 1]) - np.log(n4)).astype(np.float32)
+        self.log3 = np.log(n3[three]).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            self.log2, self.log1 = np.log(n2).astype(np.float32), np.log(one).astype(np.float32)
+        # after a context of three that is known: coded at two, escaped from two
+        coded, escaped = _tables(own2[c3 % (a * a)], gone3)
+        self.coded2, self.escaped2 = escape + coded, escape + escaped
+        # the same where it is unknown
+        self.plain2, self.pass2 = _tables(own2, np.zeros_like(own2))
+        self.coded1, self.escaped1 = _tables(own1[np.arange(a * a) % a], gone2)
+        self.coded0, self.escaped0 = _tables(np.repeat(own0, a, 0), gone1)
+        self.rest = np.float32(np.log(a - own0[0, 1]))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code length in nats of the last symbol of each run of four, after the three before it."""
+        a = self.a
+        context, three = grams // a, grams % a**3
+        two, one, symbol = context % (a * a), context % a, grams % a
+        at, known = _at(self.contexts, context)
+        coded = np.where(known, self.coded2[at] if len(self.contexts) else 0, self.plain2[two])
+        left = np.where(known, self.escaped2[at] if len(self.contexts) else 0, self.pass2[two])
+        # from the last resort up; a longer context that knows the symbol has the say
+        out = left + self.escaped1[two] + self.escaped0[one] + self.rest
+        n = self.log1[symbol]
+        out = np.where(n >= 0, left + self.escaped1[two] + self.coded0[one] - n, out)
+        n = self.log2[one * a + symbol]
+        out = np.where(n >= 0, left + self.coded1[two] - n, out)
+        at, known = _at(self.three, three)
+        out[known] = coded[known] - self.log3[at[known]]
+        at, known = _at(self.four, grams)
+        out[known] = self.cost4[at[known]]
+        return out
+
+
 @dataclasses.dataclass
 class Model:
     languages: list[str]
     symbol: np.ndarray  # byte -> symbol
-    row: np.ndarray  # [s3, s2, s1] -> row of ``nats``
-    nats: np.ndarray  # [row, symbol, language]
+    trees: list[Tree]
 
     def totals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths [text, language] in nats, and symbols in each text."""
         size = np.array([len(t) for t in texts], np.int64)
         pad = b"   "
-        ids = self.symbol[np.frombuffer(pad + pad.join(texts), np.uint8)].astype(np.int32)
-        a = self.nats.shape[1]
-        context = (ids[:-3] * a + ids[1:-2]) * a + ids[2:-1]
-        at = self.row[context] * a + ids[3:]
-        cost = self.nats.reshape(-1, self.nats.shape[2])
+        ids = self.symbol[np.frombuffer(pad + pad.join(texts), np.uint8)].astype(np.int64)
+        a = int(self.symbol.max()) + 1
+        coded = pa.array(((ids[:-3] * a + ids[1:-2]) * a + ids[2:-1]) * a + ids[3:]).dictionary_encode()
+        grams, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         # each text is followed by three spaces, which belong to the next one's context; they're cut off below
         begin = np.concatenate([[0], np.cumsum(size + 3)[:-1]])
         out = np.empty((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            sums = np.concatenate([[0.0], np.cumsum(cost[:, k][at], dtype=np.float64)])
+        for k, tree in enumerate(self.trees):
+            sums = np.concatenate([[0.0], np.cumsum(tree.costs(grams)[at], dtype=np.float64)])
             out[:, k] = sums[begin + size] - sums[begin]
         return out, size
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        named, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        if live and self.languages:
-            nats, size = self.totals([_normal(texts[i]) for i in live])
-            mean = nats / np.maximum(size, 1)[:, None]
-            weight = np.exp(-(mean - mean.min(axis=1, keepdims=True)) * np.minimum(size, _FULL)[:, None])
-            share = weight / weight.sum(axis=1, keepdims=True)
-            best = nats.argmin(axis=1)
-            for j, i in enumerate(live):
-                named[i], score[i] = self.languages[best[j]], share[j, best[j]]
-        return named, score
-
     def lead(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of each text the best language, its nats a symbol, and the weight of all languages relative to it."""
         nats, size = self.totals(texts)
@@ -98,15 +165,20 @@ class Model:
         weight = np.exp(-(mean - least[:, None]) * np.minimum(size, _FULL)[:, None]).sum(axis=1)
         return [self.languages[b] for b in nats.argmin(axis=1)], least, weight
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return predict_by_parts([self], texts)
+
 
 def predict_by_parts(parts: Iterable[Model], texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """``Model.predict`` of all parts' languages together, holding one part at a time."""
+    """Language and score by all parts' languages together, holding one part at a time."""
     named, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     lines = [_normal(texts[i]) for i in live]
     full = np.minimum([len(t) for t in lines], _FULL)
-    best, least, weight = [""] * len(live), np.full(len(live), np.inf), np.zeros(len(live))
+    best, least, weight = [UNDETERMINED] * len(live), np.full(len(live), np.inf), np.zeros(len(live))
     for part in parts if live else ():
+        if not part.languages:
+            continue
         for at, to in _spans(lines):
             name, low, more = part.lead(lines[at:to])
             old, f = least[at:to], full[at:to]
@@ -116,7 +188,7 @@ def predict_by_parts(parts: Iterable[Model], texts: list[str | None]) -> tuple[l
                 best[at + j] = name[j]
             least[at:to] = new
     for j, i in enumerate(live):
-        named[i], score[i] = best[j], 1 / weight[j]
+        named[i], score[i] = best[j], 1 / weight[j] if weight[j] else 0.0
     return named, score
 
 
@@ -132,34 +204,14 @@ def _spans(lines: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(lines)
 
 
-def _blend(levels: list[np.ndarray]) -> np.ndarray:
-    """Code lengths in nats of each symbol, from counts [context, symbol] of ever shorter contexts."""
-    n, a = levels[0].shape
-    left = np.ones((n, 1))  # probability of having escaped so far
-    tried = np.zeros((n, a), bool)
-    p = np.zeros((n, a))
-    for counts in levels:
-        c = np.where(tried, 0, counts)
-        total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        known = total[:, 0] > 0
-        denominator = np.where(total > 0, total + kinds, 1)
-        p += left * c / denominator
-        left = np.where(known[:, None], left * kinds / denominator, left)
-        tried |= c > 0
-    rest = (~tried).sum(1, keepdims=True)
-    p += np.where(tried, 0, left / np.maximum(rest, 1))
-    p /= p.sum(1, keepdims=True)
-    return -np.log(p)
-
-
 def train(rows: Iterable[tuple[str, str]]) -> Model:
-    """Fit the frozen statistics of one table to (language, text) pairs."""
+    """Fit the frozen statistics of all languages to (language, text) pairs."""
     texts = _by_language(rows)
     return _fit(texts, _bytes_of(texts))
 
 
 def parts(rows: Iterable[tuple[str, str]], most: int | None = None) -> Iterator[Model]:
-    """The same statistics in tables of at most ``most`` languages each, over one alphabet."""
+    """The same statistics in parts of at most ``most`` languages each, over one alphabet."""
     texts = _by_language(rows)
     seen, names, most = _bytes_of(texts), sorted(texts), most or LANGUAGES
     for at in range(0, max(1, len(names)), most):
@@ -183,58 +235,21 @@ def _bytes_of(texts: dict[str, list[bytes]]) -> np.ndarray:
 
 
 def _fit(texts: dict[str, list[bytes]], seen: np.ndarray) -> Model:
-    languages = sorted(texts)
-    joined = {k: b"   " + b"   ".join(v) + b"   " for k, v in texts.items()}
     symbol = np.full(256, 1, np.uint8)  # 1: a byte never seen in training
     symbol[32] = 0
     others = np.flatnonzero(seen & (np.arange(256) != 32))
     symbol[others] = np.arange(2, 2 + len(others))
-    a = 2 + len(others)
-    if not languages:
-        return Model([], symbol, np.zeros(a**3, np.int32), np.zeros((1, a, 0), np.float32))
-
-    keys3: list[np.ndarray] = []
-    grams = {}
-    for k in languages:
-        ids = symbol[np.frombuffer(joined[k], np.uint8)].astype(np.int64)
-        grams[k] = (ids, np.unique(((ids[:-3] * a + ids[1:-2]) * a + ids[2:-1]) * a + ids[3:], return_counts=True))
-        keys3.append(grams[k][1][0] // a)
-    contexts3 = np.unique(np.concatenate(keys3))
-    contexts2 = np.unique(contexts3 % (a * a))
-    n3, n2 = len(contexts3), len(contexts2)
-    row = np.empty(a**3, np.int32)
-    by1 = np.arange(a**3) % a + n3 + n2  # a context of one byte is always there
-    row[:] = by1
-    two = np.full(a * a, -1, np.int64)
-    two[contexts2] = np.arange(n2) + n3
-    t = two[np.arange(a**3) % (a * a)]
-    row = np.where(t >= 0, t, row).astype(np.int32)
-    row[contexts3] = np.arange(n3)
-
-    nats = np.empty((n3 + n2 + a, a, len(languages)), np.float32)
-    for j, k in enumerate(languages):
-        ids, (key, count) = grams[k]
-        c3 = np.zeros((n3, a))
-        c3[np.searchsorted(contexts3, key // a), key % a] = count
-        c2 = np.zeros((a * a, a))
-        np.add.at(c2, ((key // a) % (a * a), key % a), count)
-        c1 = np.zeros((a, a))
-        np.add.at(c1, ((key // a) % a, key % a), count)
-        c0 = c1.sum(0, keepdims=True)
-        one3, one2 = contexts3 % a, contexts2 % a
-        nats[:n3, :, j] = _blend([c3, c2[contexts3 % (a * a)], c1[one3], np.broadcast_to(c0, (n3, a))])
-        nats[n3 : n3 + n2, :, j] = _blend([c2[contexts2], c1[one2], np.broadcast_to(c0, (n2, a))])
-        nats[n3 + n2 :, :, j] = _blend([c1, np.broadcast_to(c0, (a, a))])
-    return Model(languages, symbol, row, nats)
+    trees = [Tree(symbol[np.frombuffer(b"   " + b"   ".join(texts[k]) + b"   ", np.uint8)], 2 + len(others)) for k in sorted(texts)]
+    return Model(sorted(texts), symbol, trees)
 
 
 def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", held_out=None, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most about ``rows`` labelled texts of every language (``TRAIN_ALL`` in all, or ``TRAIN_LEAST`` each), chosen by a hash of the key.
+    """At most about ``rows`` labelled texts of every language (``TRAIN_ALL`` in all, or ``TRAIN_LEAST`` each), chosen by a hash.
 
     Languages are counted first (no text is read), which turns the bound into a
-    threshold on the hash: no sort and no shuffle of texts.
+    threshold on the hash of key and text: no sort and no shuffle of texts.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(F.col(lang))) > 0))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if held_out is not None:
         known = known.where(~held_out)
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
@@ -242,14 +257,14 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
         return []
     rows = max(1, min(rows, max(TRAIN_LEAST, TRAIN_ALL // len(counts))))
     if len(counts) <= LANGUAGES:
-        share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
-        shared, share = known, share[F.col(lang)]
+        largest = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(share(rows, n)).cast("long"))])
+        shared, largest = known, largest[F.col(lang)]
     else:
-        shares = docs.sparkSession.createDataFrame([(k, min(1.0, rows / n)) for k, n in counts.items()], "_lang string, _share double")
-        shared, share = known.join(F.broadcast(shares), F.col(lang) == F.col("_lang")), F.col("_share")
-    unit = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000_000)) / F.lit(1e6)
-    # the length test reads texts only of rows that the hash lets through
-    picked = shared.where(unit < share).where(F.octet_length(text) <= TRAIN_ROW_BYTES).select(lang, text, key)
+        shares = docs.sparkSession.createDataFrame([(k, share(rows, n)) for k, n in counts.items()], "_lang string, _largest long")
+        shared, largest = known.join(F.broadcast(shares), F.col(lang) == F.col("_lang")), F.col("_largest")
+    picked = shared.where(F.octet_length(text) <= TRAIN_ROW_BYTES).where(drawn(largest, key, text, seed=17)).select(lang, text, key)
+    # equal rows have one hash, so the threshold alone would not bound them
+    picked = picked.orderBy(F.xxhash64(key, text)).limit(2 * rows * len(counts))
     got = [(r[0], r[1], r[2]) for r in picked.collect()]
     missing = sorted(counts.keys() - {k for k, _, _ in got})
     if missing:  # no row, or long ones only: the shortest, whole
@@ -275,7 +290,7 @@ def identify(docs: DataFrame, model: Model | Iterable[Model], *, text: str = "te
         one = len(shared) == 1
         for batch in batches if one else merged(batches, _ROUND):
             for part, texts in groups(batch, text, 2 << 20 if one else _ROUND):
-                named, score = shared[0].value.predict(texts.to_pylist()) if one else predict_by_parts(loaded(), texts.to_pylist())
+                named, score = predict_by_parts([shared[0].value] if one else loaded(), texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], pa.array(named, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

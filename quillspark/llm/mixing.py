@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import BROADCAST_BYTES, scan_bytes, stored
+from ._common import stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2, 20
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows to a (source, hash prefix) group if one source had them all, the least hex digits of a prefix, and the most groups that are broadcast.
+GROUP_ROWS, DIGITS, BROADCAST_GROUPS = 50_000, 3, 1 << 18
 
 
 def n_words(text: Column) -> Column:
@@ -62,9 +64,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     ``repeats`` whole repetitions and ``extra`` words of one more are taken:
     taken = repeats * size + extra.
     """
-    drawn = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # rows of one id, or of none, are told apart by their texts
+    drawn = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    digits = DIGITS
+    rows = docs.count()
+    while 16**digits * GROUP_ROWS < rows:
+        digits += 1
     sized = docs.select("doc_id", "source", *[f"`{c}`" for c in keep], n_words(F.col("text")).alias("size"), drawn.alias("_h"))
-    sized = sized.withColumn("_k", _key(F.col("source"))).withColumn("_b", F.substring("_h", 1, 3))
+    sized = sized.withColumn("_k", _key(F.col("source"))).withColumn("_b", F.substring("_h", 1, digits))
     # texts are read once for the sizes of groups; what comes of it is small
     totals = stored(sized.groupBy("_k", "_b").agg(F.first("source").alias("source"), F.sum("size").alias("n")), "mix-sizes")
     # _k stands for the source in the mix's own joins, as a join on null finds nothing
@@ -72,7 +79,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     sources = sources.select(_key(F.col("source")).alias("_k"), "source_size", "target")
     running = F.coalesce(F.sum("n").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     groups = totals.select("_k", "_b", running.alias("_before")).join(sources, "_k")
-    if 0 < scan_bytes(totals) <= BROADCAST_BYTES // 8:
+    if totals.count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
     within = W.partitionBy("_k", "_b").orderBy("_h", "doc_id", "size")
     placed = sized.withColumn("_here", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).join(groups, ["_k", "_b"])
@@ -108,7 +115,7 @@ def repeat(mixed: DataFrame) -> DataFrame:
 _MIX_SQL = r"""
 sized AS (
   SELECT *, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    md5('20|' || coalesce(doc_id::VARCHAR, '')) AS h
+    md5('20|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h
   FROM {docs}
 ), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), named AS (

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import scan_bytes
+from ._common import drawn, scan_bytes, share
 from ._words import Words, groups, merged
 
 END_ID = 1
@@ -49,7 +49,9 @@ TASK_BYTES = 32 << 20
 #: Words kept encoded in a worker.
 _CACHE = 60_000
 #: Bytes of texts that are encoded together.
-_GROUP = 8 << 20
+_GROUP = 4 << 20
+#: A table of (shard, ids before it) is broadcast up to this many shards; a larger one is joined by shuffle.
+_SHARDS = 1 << 20
 
 
 #: Pipelines (fixed values) whose pre-tokens are runs of letters, single digits and runs of other signs, with lower-cased
@@ -139,9 +141,12 @@ class Encoder:
         if not self.by_word:
             return [x.tobytes() + self.end for x in self._ids(texts.to_pylist())]
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        words = Words(pc.ascii_lower(texts))
+        words = Words(texts)
         cut = pc.extract_regex(words.vocab, _LETTERS_SIGNS)
-        letters, signs = (pc.struct_field(cut, i).dictionary_encode() for i in (0, 1))
+        letters, signs = (pc.struct_field(cut, i) for i in (0, 1))
+        # only letters without a mark after them are lowered here: marks are composed before the tokenizer lowers
+        letters = pc.if_else(pc.string_is_ascii(letters), pc.ascii_lower(letters), letters).dictionary_encode()
+        signs = signs.dictionary_encode()
         safe = np.array([w.isascii() or _letters(w) for w in letters.dictionary.to_pylist()], bool)
         code = letters.indices.fill_null(0).to_numpy(zero_copy_only=False)
         whole = pc.is_valid(cut).to_numpy(zero_copy_only=False) & (safe[code] if len(safe) else False)
@@ -217,8 +222,9 @@ def write(docs: DataFrame, to: str, *, tokenizer: str, end_id: int = END_ID, tex
                 yield pa.RecordBatch.from_arrays([pa.array(e.encode(texts), pa.binary())], names=["ids"])
 
     n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE_ROWS / max(n, 1)))))
-    samples = sorted(bytes(r[0]) for r in drawn.where(F.octet_length("text") <= SAMPLE_ROW_BYTES).mapInArrow(serialised, "ids binary").collect())
+    picked = rows.where(F.octet_length("text") <= SAMPLE_ROW_BYTES).where(drawn(share(SAMPLE_ROWS, n), "doc_id", "text", seed=5))
+    picked = picked.orderBy(F.xxhash64("doc_id", "text")).limit(2 * SAMPLE_ROWS)  # equal rows have one hash
+    samples = sorted(bytes(r[0]) for r in picked.mapInArrow(serialised, "ids binary").collect())
     dictionary = train_dictionary(samples)
     digest = hashlib.sha256(dictionary).hexdigest()
     from tokenizers import Tokenizer
@@ -259,8 +265,9 @@ def write(docs: DataFrame, to: str, *, tokenizer: str, end_id: int = END_ID, tex
             yield row()
 
     parts = max(2 * spark.sparkContext.defaultParallelism, scan_bytes(rows) // TASK_BYTES)
-    ordered = rows.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(pack, PACK).write.option("compression", "uncompressed").parquet(f"{to}/packs")
+    # the hash spreads the rows of one id, or of none, over as many tasks as they fill
+    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(int(parts), "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    ordered.drop("_h").mapInArrow(pack, PACK).write.option("compression", "uncompressed").parquet(f"{to}/packs")
 
 
 def read(spark: SparkSession, store: str) -> DataFrame:
@@ -284,10 +291,11 @@ def _read(spark: SparkSession, store: str, column: str, kind: pa.DataType, make)
     if hashlib.sha256(dictionary).hexdigest() != digest:
         raise ValueError("the dictionary is not the one that its hash names")
     shared = spark.sparkContext.broadcast(dictionary)
-    # ``before`` counts within a shard; the shards before it add a row for each task that wrote, which is small at any size
+    # ``before`` counts within a shard; the shards before it add a row for each task that wrote
     shards = packs.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     base = shards.select("shard", F.coalesce(F.sum("_n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rows = packs.join(F.broadcast(base), "shard").select("doc_ids", "offsets", "counts", "data", "dict_sha256", (F.col("_base") + F.col("before")).alias("_start"))
+    few = shards.count() <= _SHARDS  # reads one column of the packs
+    rows = packs.join(F.broadcast(base) if few else base.hint("shuffle_hash"), "shard").select("doc_ids", "offsets", "counts", "data", "dict_sha256", (F.col("_base") + F.col("before")).alias("_start"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor(**_with(shared.value))
