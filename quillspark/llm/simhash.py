@@ -2,17 +2,17 @@
 
 A pair of fingerprints of ``bits`` bits that differ in at most ``tau`` of them, cut
 into ``segments`` in a ring, has a segment from which every chain of l consecutive
-segments differs in at most l * tau / segments bits, for every l.  So documents
-are keyed by each of their segments (the chain of length one has to be equal), and
-a pair that shares a key must pass the budget of each longer chain before its full
-distance counts.
+segments differs in at most l * tau / segments bits, for every l.  The longest chain
+whose budget is zero has to be equal: that is the key, one from each segment on.  A pair
+that shares a key must pass the budget of each longer chain before its full distance
+counts.  The ring is cut finer as fingerprints grow in number, which makes the equal
+chain longer (21 bits of 64 in three segments, 30 in thirty-one), so that keys grow with
+the data and the pairs of a key do not.
 
 Fingerprints are made distinct first, so copies cost nothing.  A key with more than
-``bucket`` distinct fingerprints is not joined with itself: two fingerprints that
-differ in at most two bits have a common neighbour one bit from both, so there
-each fingerprint is keyed by itself and its ``bits`` neighbours and linked to the
-smallest one under each of those keys, of which no more than ``bits`` + 1 can be.
-That finds the same components, exactly, with rows in proportion to fingerprints.
+``bucket`` distinct fingerprints is cut again by the same rule: of tau + 1 runs of the
+bits that it leaves free, a pair within tau bits agrees in at least one.  Every step
+fixes more bits, so no key stays large, whatever its share of the rows, and no pair is lost.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; a component's id is its smallest doc_id that is not null.
@@ -32,7 +32,9 @@ from ._common import stored
 from ._words import groups
 from .components import components
 
-BITS, TAU, SEGMENTS, BUCKET, SHINGLE, SEED = 64, 2, 3, 256, 3, 42
+BITS, TAU, BUCKET, SHINGLE, SEED = 64, 2, 256, 3, 42
+#: Fingerprints to a key, on the average, up to which a ring is not cut finer.
+PER_KEY = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -72,48 +74,84 @@ def _masks(segments: int) -> list[int]:
     return [((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in range(segments)]
 
 
+def _chains(segments: int, size: int) -> list[int]:
+    """Bits of ``size`` consecutive segments of the ring, from each segment on."""
+    masks = _masks(segments)
+    return [sum(masks[(i + k) % segments] for k in range(size)) for i in range(segments)]
+
+
+def _equal_chain(segments: int, tau: int) -> int:
+    """The longest chain whose budget is no difference at all."""
+    return segments if not tau else -(-segments // tau) - 1
+
+
+def ring(n: int, tau: int = TAU) -> int:
+    """Segments for n distinct fingerprints: the fewest whose equal chain has keys for all but about ``PER_KEY`` of them each.
+
+    More segments make the equal chain longer, up to ``BITS`` / tau bits, at one key a segment.
+    """
+    best = tau + 1
+    for chain in range(1, BITS // (2 * max(tau, 1)) + 1):
+        segments = chain * tau + 1
+        if segments > BITS:
+            break
+        best = segments
+        if n <= PER_KEY << (BITS * chain // segments):
+            break
+    return best
+
+
 def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _viable(difference: Column, segment: Column, tau: int, segments: int) -> Column:
-    """Chains from ``segment`` on stay within their budgets, up to the whole ring."""
-    masks, ok = _masks(segments), F.lit(True)
-    for size in range(2, segments + 1):
-        chains = [0] * segments
-        for i in range(segments):
-            for k in range(size):
-                chains[i] |= masks[(i + k) % segments]
-        chain = F.element_at(F.array(*[F.lit(_long(c)) for c in chains]), segment + 1)
+def _viable(difference: Column, start: Column, tau: int, segments: int) -> Column:
+    """Chains from ``start`` on stay within their budgets, up to the whole ring."""
+    ok = F.lit(True)
+    for size in range(_equal_chain(segments, tau) + 1, segments + 1):
+        if size < segments and (size + 1) * tau // segments == size * tau // segments:
+            continue  # the next longer chain has the same budget, so it has the say
+        chain = F.element_at(F.array(*[F.lit(_long(c)) for c in _chains(segments, size)]), start + 1)
         ok = ok & (F.bit_count(difference.bitwiseAND(chain)) <= size * tau // segments)
     return ok
 
 
-def links(distinct: DataFrame, *, tau: int = TAU, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) that have the components of all pairs within ``tau`` bits (2 at most)."""
-    if not 0 <= tau <= 2:
-        raise ValueError("large keys are linked through common neighbours, which reach two bits")
-    parts = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("key")) for i, m in enumerate(_masks(segments))])
-    keyed = distinct.select("fp", F.explode(parts).alias("s")).select("s.seg", "s.key", "fp")
-    sizes = keyed.groupBy("seg", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(keyed.join(sizes, ["seg", "key"]), "segments")
-    few = shared.where(F.col("n") <= bucket)
-    a, b = few.select("seg", "key", F.col("fp").alias("u")), few.select("seg", "key", F.col("fp").alias("v"))
-    different = F.col("u").bitwiseXOR(F.col("v"))
-    near = a.join(b, (a["seg"] == b["seg"]) & (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & _viable(different, a["seg"], tau, segments)).select("u", "v")
-    many = shared.where(F.col("n") > bucket).select("fp").distinct()
-    if tau == 2:
-        flips = F.array(F.lit(0), *[F.lit(_long(1 << i)) for i in range(BITS)])
-    else:  # neighbours of neighbours are not linked: each pair that differs in bit i has one key, with that bit cleared
-        flips = F.array(F.lit(0), *[F.lit(_long(1 << i)) for i in range(BITS)]) if tau else F.array(F.lit(0))
-    around = many.select("fp", F.explode(flips).alias("f"))
-    if tau == 1:
-        around = around.select("fp", F.col("fp").bitwiseAND(F.bitwise_not("f")).alias("x"), "f")
-        hubs = around.groupBy("x", "f").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all"))
-    else:
-        hubs = around.select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("x")).groupBy("x").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all"))
-    stars = hubs.where(F.size("all") > 1).select("u", F.explode("all").alias("v")).where("u <> v")
-    return near.union(stars)
+def _cut(mask: int, parts: int) -> list[int]:
+    """The mask with each of ``parts`` runs of the bits that it leaves free."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    edge = [len(free) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << i for i in free[edge[k] : edge[k + 1]]) for k in range(parts)]
+
+
+def links(distinct: DataFrame, *, tau: int = TAU, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (u, v) of all pairs within ``tau`` bits, found once or more."""
+    segments = segments or ring(distinct.count(), tau)
+    if not 0 < tau < segments <= BITS:
+        raise ValueError("the ring needs more segments than bits that may differ")
+    spark = distinct.sparkSession
+    masks = _chains(segments, _equal_chain(segments, tau))
+    starts = F.array(*[F.struct(F.lit(i).alias("start"), F.lit(_long(m)).alias("mask")) for i, m in enumerate(masks)])
+    level = distinct.select("fp", F.explode(starts).alias("s")).select("s.start", "s.mask", "fp")
+    key, out = ["start", "mask", "key"], None
+    while True:
+        keyed = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+        shared = stored(keyed.join(sizes, key), "segments")
+        # what so few free bits leave is no more than a bucket, or within tau bits altogether
+        small = (F.col("n") <= bucket) | (F.bit_count("mask") >= BITS - tau)
+        few = shared.where(small)
+        a, b = few.select(*key, F.col("fp").alias("u")), few.select(*key, F.col("fp").alias("v"))
+        difference = F.col("u").bitwiseXOR(F.col("v"))
+        near = a.join(b, key).where((F.col("u") < F.col("v")) & (F.bit_count(difference) <= tau) & _viable(difference, F.col("start"), tau, segments)).select("u", "v")
+        out = near if out is None else out.union(near)
+        many = shared.where(~small)
+        if many.isEmpty():
+            return out
+        # the same rule within a large key: of tau + 1 runs of the bits that are left, such a pair agrees in one
+        cut = {m: _cut(m, tau + 1) for m in set(masks)}
+        masks = [c for cs in cut.values() for c in cs]
+        finer = spark.createDataFrame([(_long(m), _long(c)) for m, cs in cut.items() for c in cs], "mask long, finer long")
+        level = many.select("start", "mask", "fp").join(F.broadcast(finer), "mask").select("start", F.col("finer").alias("mask"), "fp")
 
 
 def classes(prints: DataFrame, **options) -> DataFrame:

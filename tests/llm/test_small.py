@@ -69,11 +69,14 @@ def test_language_code_lengths_sum_to_one():
     import numpy as np
 
     model = language_id.train([("a", "abab cab abba"), ("b", "zzyx zyzzy")])
-    assert np.allclose(np.exp(-model.nats).sum(axis=1), 1, atol=1e-5)
+    a = int(model.symbol.max()) + 1
+    for tree in model.trees:
+        nats = tree.costs(np.arange(a**4)).reshape(-1, a)  # every symbol after every context, known or not
+        assert np.allclose(np.exp(-nats).sum(axis=1), 1, atol=1e-5)
 
 
 def test_html(spark, sf_dir):
-    tree = html_text.default_tree()
+    tree = html_text.default_classifier()
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
     page = """<html><head><title>T</title></head><body><header><a href=x>Home</a></header><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1>
       <p>One   two <b>th</b>ree</p><!-- no --><p>a &lt; b<br>next<ul><li>item</ul><script>if (a</p>) {}</script><section class="comments"><p>A long comment of a reader that goes on and on</p></section></article>
@@ -297,11 +300,30 @@ def test_simhash(spark, odd, sf_dir, bucket):
 
 def test_pigeonring_budgets_lose_no_pair():
     draw = random.Random(7)
-    masks = simhash._masks(3)
-    for _ in range(3000):
-        d = sum(1 << b for b in draw.sample(range(64), draw.randrange(3)))
-        ok = any(all(sum((d & masks[(i + k) % 3]).bit_count() for k in range(n)) <= n * 2 // 3 for n in range(1, 4)) for i in range(3))
-        assert ok
+    for tau, segments in ((2, 3), (2, 5), (2, 31), (1, 2), (3, 4), (3, 10), (5, 16)):
+        chains = {n: simhash._chains(segments, n) for n in range(1, segments + 1)}
+        equal = simhash._equal_chain(segments, tau)
+        assert equal * tau // segments == 0 < (equal + 1) * tau // segments
+        for _ in range(1000):
+            d = sum(1 << b for b in draw.sample(range(64), draw.randrange(tau + 1)))
+            # the key is an equal chain, so every chain counts, from one segment at least
+            assert any(all((d & chains[n][i]).bit_count() <= n * tau // segments for n in chains) for i in range(segments))
+
+
+def test_rings_grow_with_the_fingerprints():
+    sizes = [simhash.ring(n) for n in (0, 10**5, 10**8, 10**10, 10**14)]
+    assert sizes[0] == 3 and sizes == sorted(sizes) and sizes[2] > 3 and sizes[-1] <= 64
+
+
+@pytest.mark.parametrize("options", [{"tau": 2, "segments": 7}, {"tau": 3, "bucket": 3}, {"tau": 1, "bucket": 2}, {"tau": 4, "segments": 13, "bucket": 8}])
+def test_links_are_all_pairs_within_tau(spark, options):
+    draw = random.Random(11)
+    base = [draw.getrandbits(64) for _ in range(6)]
+    prints = {draw.choice(base) ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(5))) for _ in range(300)}
+    table = spark.createDataFrame([(simhash._long(f),) for f in prints], "fp long")
+    got = {tuple(sorted((r.u, r.v))) for r in simhash.links(table, **options).collect()}
+    every = sorted(map(simhash._long, prints))
+    assert got == {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= options["tau"]}
 
 
 def test_substring_dedup(spark, odd):
