@@ -16,9 +16,9 @@ Everything above the threshold is retrieved, then verified: 5-word shingles of t
 question (all but the last sentence) and of the answer (the last sentence) must
 stand in the document around the passage.
 
-Items are taken in blocks of at most ``ITEMS`` index units, each broadcast in turn to
-one pass over the documents, so the index held in memory is bounded at any size of
-the test set.  Document frequency and mean length are those of all units, whatever the block.
+Items are taken in blocks of at most ``ITEMS`` index units, of which ``PASS`` are broadcast
+to one pass over the documents, which are cut into words once for all of them, so the
+index held in memory is bounded at any size of the test set.  Document frequency and mean length are those of all units, whatever the block.
 
 Defined results: null or wordless items match nothing; null and empty texts have no
 passages.  Equal items are reported each under its own id.
@@ -35,7 +35,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import stored
@@ -47,7 +48,8 @@ THETA = 0.6
 SHINGLE, OVERLAP, ANSWER_OVERLAP = 5, 0.8, 0.5
 STRIDE = 64
 BLOCK = 8  # postings to a block of WAND
-ITEMS = 4096  # index units broadcast at once
+ITEMS = 4096  # index units to a block
+PASS = 8  # blocks that one pass over the documents is matched with
 _BOUNDS = 64  # columns of the table of batch bounds
 #: Documents to match in one pass, in bytes of text.
 _GROUP = 2 << 20
@@ -212,9 +214,8 @@ def _overlap(part: list[str], near: list[str]) -> float:
     return sum(s in there for s in own) / len(own)
 
 
-def matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of all that is verified."""
-    words = Words(normal(texts))
+def matches(index: Index, words: Words) -> Iterator[tuple[int, int, float, float, float]]:
+    """(text, item, score, question overlap, answer overlap) of all that is verified, for the words of ``normal`` texts."""
     if not len(words.codes) or not index.items:
         return
     term = pc.index_in(words.vocab, index.vocab).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[words.codes]
@@ -319,25 +320,36 @@ def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list[Item], bool]]:
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def _passes(spark: SparkSession, items: DataFrame) -> Iterator[list[Broadcast]]:
+    """The blocks of the index, broadcast, in lists of at most ``PASS``: each list is one pass over the documents."""
+    held: list[Broadcast] = []
+    for index in indexes(items):
+        held.append(spark.sparkContext.broadcast(index))
+        if len(held) == PASS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def find(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each test item in each document; ``score`` is its share of the item's own score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = spark.createDataFrame([], FOUND)
-    for index in indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+    for shared in _passes(spark, items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 for part, texts in groups(batch, most=_GROUP):
-                    ids = part.column(0).to_pylist()
-                    got = list(matches(index, texts))
-                    if got:
-                        d, i, s, q, a = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[x] for x in d], pa.int64()), pa.array([index.items[x].item_id for x in i], pa.int64()), *[pa.array(x, pa.float64()) for x in (s, q, a)]], names=[x.split()[0] for x in FOUND.split(", ")]
-                        )
+                    ids, words = part.column(0).to_pylist(), Words(normal(texts))
+                    for index in (s.value for s in shared):
+                        got = list(matches(index, words))
+                        if got:
+                            d, i, s, q, a = zip(*got, strict=True)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([ids[x] for x in d], pa.int64()), pa.array([index.items[x].item_id for x in i], pa.int64()), *[pa.array(x, pa.float64()) for x in (s, q, a)]], names=[x.split()[0] for x in FOUND.split(", ")]
+                            )
 
         out = out.union(rows.mapInArrow(run, FOUND))
     return out
@@ -345,14 +357,14 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "d
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` without those that hold a test item; no row moves between tasks."""
-    for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared in _passes(docs.sparkSession, items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in groups(batch, text, _GROUP):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[m[0] for m in matches(shared.value, texts)]] = False
+                    keep, words = np.ones(part.num_rows, bool), Words(normal(texts))
+                    for s in shared:
+                        keep[[m[0] for m in matches(s.value, words)]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ bucket: five bytes of hash, byte planes of positions (which compress to little),
 and a short table of documents.  Both steps aggregate within a batch before the
 shuffle: what repeats there is settled there, and one copy is sent on behalf of the rest,
 so a passage in a third of all documents sends one entry a batch.  A false match of
-the short hash only adds a window to step 2, which compares 96 bits.
+the short hash only adds a window to step 2, which compares 128 bits.
 
 Hits and spans go back to their documents by shuffle, packed by shard of document.
 Texts without any stay where they are: a bitmap of ``SLOTS`` bits over hashed
@@ -40,8 +40,8 @@ from ._common import scan_bytes, stored
 from ._words import U64, Words, groups, mark, mix, prefix_sums, span_hashes, window_starts
 
 WINDOW = 50
-#: Compressed input to a hash bucket, and the most buckets.
-BUCKET_BYTES, BUCKETS = 6 << 20, 1 << 16
+#: Compressed input to a hash bucket; there are as many buckets as the input asks for.
+BUCKET_BYTES = 6 << 20
 #: Bits of the map of documents that have hits or spans.
 SLOTS = 1 << 26
 _LAST = (1 << 63) - 1
@@ -242,7 +242,7 @@ def _windows(buckets: int, shards: int, window: int):
                 doc = np.searchsorted(words.offsets, at, side="right") - 1
                 wh = words.hashes()
                 h = span_hashes(prefix_sums(wh), at, window)
-                h2 = span_hashes(prefix_sums(mix(wh ^ U64(0xA5A5A5A5A5A5A5A5))), at, window).astype(np.uint32)
+                h2 = span_hashes(prefix_sums(mix(wh ^ U64(0xA5A5A5A5A5A5A5A5))), at, window)
                 pos = at - words.offsets[doc]
                 # a larger document of this batch loses what a smaller one of it has; only the smallest is sent on
                 order = np.lexsort((rid[doc], h2, h))
@@ -256,7 +256,7 @@ def _windows(buckets: int, shards: int, window: int):
                 if len(lost):
                     out += _sharded(rid, tkey, doc[lost], pos[lost], shards)
                 kept = ~gone
-                packed = np.concatenate([h[kept].astype("<u8").view(np.uint8).reshape(-1, 8), h2[kept].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+                packed = np.stack([h[kept], h2[kept]], axis=1).astype("<u8").view(np.uint8)
                 if kept.any():
                     out += list(_rows(((h[kept] >> U64(20)) % U64(buckets)).astype(np.int64), packed, pos[kept], doc[kept], rid, tkey))
                 yield _batch(out, _PACKED)
@@ -277,9 +277,7 @@ def _removals(shards: int):
         rows = _table_rows(table)
         if key[0].as_py() < 0:
             return _passed_on(rows)
-        raw = np.concatenate([np.frombuffer(h, np.uint8).reshape(-1, 12) for _, h, _, _ in rows])
-        h = np.ascontiguousarray(raw[:, :8]).view("<u8").reshape(-1)
-        h2 = np.ascontiguousarray(raw[:, 8:]).view("<u4").reshape(-1)
+        h, h2 = np.concatenate([np.frombuffer(h, "<u8").reshape(-1, 2) for _, h, _, _ in rows]).T.copy()
         rid, tkey, pos = _entries(rows)
         order = np.lexsort((rid, h2, h))
         new = np.ones(len(h), bool)
@@ -312,7 +310,7 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: s
     if window < 2 or window % 2:
         raise ValueError("the window has to be an even number of words")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = int(min(BUCKETS, max(8, scan_bytes(docs) // BUCKET_BYTES)))
+    buckets = int(max(8, scan_bytes(docs) // BUCKET_BYTES))
     shards = max(4, buckets // 4)
     hits = rows.mapInArrow(_probes(buckets, shards, window), _PACKED).groupBy("bucket").applyInArrow(_hits(shards), _PACKED)
     hits = stored(hits.groupBy("bucket").applyInArrow(_gathered(lambda p: p.astype("<u4").tobytes()), _FOUND), "anchor-hits")
