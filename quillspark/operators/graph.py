@@ -50,7 +50,10 @@ def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def patch(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Rows with the columns of ``changes`` that are not null; keys that do not exist are not added."""
     columns = [c for c in changes.columns if c != key]
-    one = changes.groupBy(key).agg(*[F.last(c, ignorenulls=True).alias(f"_n_{c}") for c in columns])
+    order = F.col("seq") if "seq" in columns else F.lit(0)
+    columns = [c for c in columns if c != "seq"]
+    # of several values of a key the one with the largest seq counts, of equal seq the one with the largest hash: no order of rows
+    one = changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, F.xxhash64(F.to_json(F.struct(c)))))).alias(f"_n_{c}") for c in columns])
     out = table.join(one, key, "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(f"_n_{c}"), F.col(c)))
@@ -60,8 +63,8 @@ def patch(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
 def append(log: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """Log rows after the last one, numbered on in their order ``seq``."""
     last = log.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
-    n = F.row_number().over(W.orderBy("seq"))
-    return log.unionByName(rows.join(F.broadcast(last)).withColumn(key, (F.col("_last") + n).cast("long")).drop("_last", "seq"), allowMissingColumns=True)
+    placed = ranked(rows, "seq", name="_place")
+    return log.unionByName(placed.join(F.broadcast(last)).withColumn(key, (F.col("_last") + F.col("_place")).cast("long")).drop("_last", "_place", "seq"), allowMissingColumns=True)
 
 
 def correlation(source: Column, target: Column, score: Column, why: Column | None = None) -> list[Column]:
@@ -87,9 +90,7 @@ def pairs(scored: DataFrame, *, id: str = "paper_id", score: str = "dry_score",
     best = scored.where(F.col(score) > floor).orderBy(F.desc(score), pos)
     if most is not None:
         best = best.limit(most)
-    # three readers follow, and scores are dear
-    best = stored(best.select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), F.col(pos).alias("_pos")), "pair-scores")
-    best = best.withColumn("rn", F.row_number().over(W.orderBy(F.desc("s"), "_pos"))).drop("_pos")
+    best = ranked(best.select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), F.col(pos).alias("_pos")), F.desc("s"), "_pos", name="rn").drop("_pos")
     # each paper is sent to the blocks of those before it: an equi-join in place of a product
     width = 256
     block = lambda c: F.floor((F.col(c) - 1) / width)

@@ -10,7 +10,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import hits, text_or_empty
 
@@ -48,8 +47,8 @@ def slim(papers: DataFrame, columns: Sequence[str] = REDUNDANT) -> DataFrame:
 
 
 def first_rows(papers: DataFrame, *keys: str, pos: str = "pos") -> DataFrame:
-    """The first row of each key; keys of rows are compared null-safe."""
-    return papers.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(pos))).where("_n = 1").drop("_n")
+    """The first row of each key, by an aggregate: the rows of a key are never sorted in one task.  Keys are compared null-safe."""
+    return papers.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min_by(F.struct(*papers.columns), pos).alias("_r")).select("_r.*")
 
 
 def first_tier(tiers: DataFrame, tier: str = "tier") -> DataFrame:
@@ -119,8 +118,11 @@ def core_papers(scored: DataFrame, *, mean_gate: float = 3.0, n: int = 10, pos:
     """
     reviewed = F.col("mean_score").isNotNull()
     tier = F.when(reviewed & ((F.col("mean_score") >= mean_gate) | F.coalesce(F.col("llm_passed"), F.lit(False))), 0).when(reviewed, 1).when(F.coalesce(F.col("passed"), F.lit(False)), 2).otherwise(3)
-    best = first_tier(scored.withColumn("tier", tier))
-    return best.withColumn("_n", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("dry_score"), pos))).where(f"tier < 3 OR _n <= {n}").drop("_n")
+    rows = scored.withColumn("tier", tier)
+    best = F.broadcast(rows.agg(F.min("tier").alias("_best")))
+    # only the last tier is cut, and its n best are a top-k over all tasks
+    last = rows.where("tier = 3").orderBy(F.desc("dry_score"), pos).limit(n)
+    return rows.where("tier < 3").unionByName(last).join(best, F.col("tier") == F.col("_best")).drop("_best")
 
 
 def unread(papers: DataFrame, done: DataFrame, key: str = "paper_id") -> DataFrame:

@@ -16,8 +16,8 @@ def label(level: Column, category: Column) -> Column:
     return F.concat(F.lit("L"), level.cast("string"), F.lit("-"), F.coalesce(category, F.lit("general")))
 
 
-def match(papers: DataFrame, seeds: DataFrame, *, top: int = TOP, least: float = LEAST, title_only: bool = False) -> DataFrame:
-    """(paper_id, node_id, level, category, score, rank) of each paper's best seeds; ties go by ``seed_pos``.
+def _best(papers: DataFrame, seeds: DataFrame, top: int = TOP, least: float = LEAST, title_only: bool = False) -> DataFrame:
+    """(paper_id, best) with an array of each paper's best seeds; ties go by ``seed_pos``.
 
     The seeds are a dimension of a few dozen rows, and their number does not grow with the papers: they are
     gathered into one row that is joined to every paper, and scored inside it, so no row of a paper is
@@ -49,29 +49,26 @@ def match(papers: DataFrame, seeds: DataFrame, *, top: int = TOP, least: float =
         score = F.least(F.lit(1.0), raised)
         return F.struct((-score).alias("order"), s["seed_pos"].alias("seed_pos"), s["node_id"].alias("node_id"), s["level"].alias("level"), s["category"].alias("category"), score.alias("score"))
 
-    found = rows.where(F.size("_w") > 0).join(F.broadcast(packed)).withColumn("_known", F.array_intersect("_w", "_all"))
-    best = F.slice(F.array_sort(F.filter(F.transform("_seeds", scored), lambda x: x["score"] >= least)), 1, top)
-    return found.select("paper_id", F.posexplode(best).alias("_i", "_s")).select("paper_id", "_s.node_id", "_s.level", "_s.category", "_s.score", (F.col("_i") + 1).alias("rank"))
+    found = rows.join(F.broadcast(packed)).withColumn("_known", F.array_intersect("_w", "_all"))
+    best = F.slice(F.array_sort(F.filter(F.transform("_seeds", scored), lambda x: (x["score"] >= least) & (F.size("_w") > 0))), 1, top)
+    return found.select("paper_id", best.alias("best"))
+
+
+def match(papers: DataFrame, seeds: DataFrame, **options) -> DataFrame:
+    """(paper_id, node_id, level, category, score, rank) of each paper's best seeds."""
+    found = _best(papers, seeds, **options).select("paper_id", F.posexplode("best").alias("_i", "_s"))
+    return found.select("paper_id", "_s.node_id", "_s.level", "_s.category", "_s.score", (F.col("_i") + 1).alias("rank"))
 
 
 def match_rows(papers: DataFrame, seeds: DataFrame, **options) -> DataFrame:
     """One row a paper: levels in order of rank, confidence, seeds and their scores; papers without a match have empty ones."""
-    found = match(papers, seeds, **options).withColumn("_label", label(F.col("level"), F.col("category")))
-    per = found.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "score", "_label"))).alias("m"))
-    per = per.select(
-        "paper_id",
-        F.array_distinct(F.transform("m", lambda x: x["_label"])).alias("knowledge_level"),
-        F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x["score"]) / F.size("m"), 3).alias("knowledge_level_confidence"),
-        F.transform("m", lambda x: x["node_id"]).alias("matched_seeds"),
-        F.map_from_entries(F.transform("m", lambda x: F.struct(x["node_id"], F.round(x["score"], 3)))).alias("match_scores"),
-    )
-    empty = F.array().cast("array<string>")
-    return papers.select("paper_id").join(per, "paper_id", "left").select(
+    mean = F.aggregate("best", F.lit(0.0), lambda a, x: a + x["score"]) / F.greatest(F.size("best"), F.lit(1))
+    return _best(papers, seeds, **options).select(  # the paper's row has all it takes: nothing is shuffled
         "paper_id",
-        F.coalesce("knowledge_level", empty).alias("knowledge_level"),
-        F.coalesce("knowledge_level_confidence", F.lit(0.0)).alias("knowledge_level_confidence"),
-        F.coalesce("matched_seeds", empty).alias("matched_seeds"),
-        F.coalesce("match_scores", F.create_map().cast("map<string,double>")).alias("match_scores"),
+        F.array_distinct(F.transform("best", lambda x: label(x["level"], x["category"]))).alias("knowledge_level"),
+        F.round(mean, 3).alias("knowledge_level_confidence"),
+        F.transform("best", lambda x: x["node_id"]).alias("matched_seeds"),
+        F.map_from_entries(F.transform("best", lambda x: F.struct(x["node_id"], F.round(x["score"], 3)))).alias("match_scores"),
     )
 
 

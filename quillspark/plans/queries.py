@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import replies
 from ..functions import text as T
 from ..operators import dedup, graph, ontology, reports, scoring, screening, seeds
 from ..sources import readers
+from ..sources.tables import shared_dir
 from ..streaming import events as stream
 from .fixtures import BACKGROUND, INTENT, NOW, QUERY, dealt, papers, table, trade_graph
 from .fixtures import seeds as corpus_seeds
@@ -215,15 +217,9 @@ def far_transfer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.far_transfer(rows, pattern=F.concat(F.lit("pattern "), "lang"), core=F.concat("source", "lang"), architecture=F.col("source"), domain=F.col("quality").cast("string"), id="doc_id")
 
 
-@query(f"""WITH {_dry_sql()}, k AS (SELECT paper_id, round(raw, 4) AS s, row_number() OVER (ORDER BY round(raw, 4) DESC, pos) AS rn FROM dry WHERE round(raw, 4) > 0.2), b AS (SELECT * FROM k WHERE rn <= 200)
-SELECT a.paper_id::VARCHAR AS source_id, b.paper_id::VARCHAR AS target_id, b.s AS base_score FROM b a JOIN b ON a.rn < b.rn""")
-def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pairs(_dry(spark, sf_dir), most=200).select("source_id", "target_id", "base_score")
-
-
 @query(f"""WITH {_dry_sql()}, k AS (SELECT paper_id, round(raw, 4) AS s, row_number() OVER (ORDER BY round(raw, 4) DESC, pos) AS rn FROM dry WHERE round(raw, 4) > 0.2)
 SELECT a.paper_id::VARCHAR AS source_id, b.paper_id::VARCHAR AS target_id, b.s AS base_score FROM k a JOIN k b ON a.rn < b.rn""")
-def pair_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pairs(_dry(spark, sf_dir)).select("source_id", "target_id", "base_score")
 
 
@@ -232,7 +228,7 @@ SELECT paper_id, b1, b2, row_number() OVER (ORDER BY b2 DESC, b1 DESC, title, pa
 def score_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (1.0 + F.col("quality") + F.col("toxic")).alias("mean_score"))
     p = papers(spark, sf_dir)
-    nodes, edges = graph.build(p, _dry(spark, sf_dir), said, most_pairs=0)
+    nodes, edges = graph.build(p, _dry(spark, sf_dir), said)
     return graph.score_index(nodes, edges).select("paper_id", "b1", "b2", "rank")
 
 
@@ -366,11 +362,11 @@ def sibling_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.sibling_pairs(nodes)
 
 
-@query("""WITH n AS (SELECT 'L' || (p_size % 9) AS level, count(*) AS n FROM part WHERE p_size % 9 <> 4 OR p_partkey < 30 GROUP BY 1)
-SELECT level, n::BIGINT AS n, 'L' || (substr(level, 2)::INT - 1) AS parent_level FROM n WHERE n.n < 200 AND substr(level, 2)::INT > 1 AND 'L' || (substr(level, 2)::INT - 1) IN (SELECT level FROM n)""")
+@query("""WITH n AS (SELECT 'L' || p_size AS level, count(*) AS n FROM part GROUP BY 1)
+SELECT level, n::BIGINT AS n, 'L' || (substr(level, 2)::INT - 1) AS parent_level FROM n WHERE n.n < (SELECT count(*) // 50 FROM part) AND substr(level, 2)::INT > 1 AND 'L' || (substr(level, 2)::INT - 1) IN (SELECT level FROM n)""")
 def level_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "part").where("p_size % 9 <> 4 OR p_partkey < 30").select(F.array(F.concat(F.lit("L"), (F.col("p_size") % 9).cast("string"))).alias("knowledge_level"))
-    return ontology.collapses(nodes, 200)
+    parts = table(spark, sf_dir, "part")
+    return ontology.collapses(parts.select(F.array(F.concat(F.lit("L"), F.col("p_size").cast("string"))).alias("knowledge_level")), parts.count() // 50)
 
 
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events), r AS (SELECT *, min((event_type IN ('view', 'click'))::INT) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM e WHERE n <= 5)
@@ -423,7 +419,7 @@ def score_mean_4cl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("passed", F.col("mean_score") >= 3.0)
 
 
-_TEMPLATE = """t AS (SELECT doc_id, source AS arch, lower(left(text, 60)) AS pat, lang || ' core ' || source AS core, list_distinct([lang, source, (doc_id % 3)::VARCHAR]) AS chain FROM documents
+_TEMPLATE = """t AS (SELECT doc_id, source AS arch, lower(text) AS pat, lang || ' core ' || source AS core, list_distinct([lang, source, (doc_id % 3)::VARCHAR]) AS chain FROM documents
 ), w AS (SELECT *, list_distinct(regexp_extract_all(pat, '[a-z0-9_]{1,}')) AS pw, list_distinct(regexp_extract_all(lower(core), '[a-z0-9_]{1,}')) AS cw FROM t)"""
 
 
@@ -435,25 +431,15 @@ def _jac(a: str, b: str) -> str:
 SELECT doc_id, round(least(1.0, (CASE WHEN same THEN 0.35 ELSE 0.0 END::DOUBLE + CASE WHEN len(xp) > 0 AND len(yp) > 0 THEN 0.25 * {_jac("xp", "yp")} ELSE 0 END + 0.20 * {_jac("xc", "yc")} + 0.20 * {_jac("xs", "ys")})
   / (0.75 + CASE WHEN len(xp) > 0 AND len(yp) > 0 THEN 0.25 ELSE 0.0 END)), 6) AS similarity FROM p""")
 def template_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.array("lang", "source", (F.col("doc_id") % 3).cast("string")).alias("signal_chain"), F.col("source").alias("control_architecture"), F.substring("text", 1, 60).alias("abstract_pattern"), F.concat("lang", F.lit(" core "), "source").alias("mathematical_core")).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.array("lang", "source", (F.col("doc_id") % 3).cast("string")).alias("signal_chain"), F.col("source").alias("control_architecture"), F.col("text").alias("abstract_pattern"), F.concat("lang", F.lit(" core "), "source").alias("mathematical_core")).alias("t"))
     other = d.select((F.col("doc_id") - 20).alias("doc_id"), F.col("t").alias("u"))
     return d.join(other, "doc_id").select("doc_id", F.round(seeds.template_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
-@query(f"""WITH {_PAPERS}, w AS (SELECT paper_id, list_distinct(list_transform(list_filter(string_split_regex(trim(title), '\\s+'), lambda x: length(x) > 3), lambda x: lower(x))) AS w, [1 + paper_id % 6] AS l FROM papers
-), s AS (SELECT a.paper_id AS new_id, b.paper_id, 0.5 * (len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)) + 0.5 * (1.0 - 0.15 * abs(a.l[1] - b.l[1])) AS r FROM w a, w b WHERE a.paper_id < 10 AND a.paper_id <> b.paper_id
-), k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(r, 9) DESC, paper_id)::INT AS rank FROM s) SELECT new_id, paper_id, round(r, 6) AS relevance, rank FROM k WHERE rank <= 15""")
-def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = papers(spark, sf_dir).withColumn("knowledge_level", F.array(F.concat(F.lit("L"), (1 + F.col("paper_id") % 6).cast("string"), F.lit("-x"))))
-    # ten papers under review against all: the review set is small by nature
-    found = seeds.retrieve(p.where("paper_id < 10"), p)
-    return found.select("new_id", "paper_id", F.round("relevance", 6).alias("relevance"), "rank")
-
-
 @query(f"""WITH {_PAPERS}, w AS (SELECT paper_id, list_distinct(list_transform(list_filter(string_split_regex(trim(title), '\\s+'), lambda x: length(x) > 3), lambda x: lower(x))) AS w, [1 + paper_id % 6] AS l FROM papers
 ), s AS (SELECT a.paper_id AS new_id, b.paper_id, 0.5 * (len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)) + 0.5 * (1.0 - 0.15 * abs(a.l[1] - b.l[1])) AS r FROM w a, w b WHERE a.paper_id % 100 = 0 AND a.paper_id <> b.paper_id
 ), k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(r, 9) DESC, paper_id)::INT AS rank FROM s) SELECT new_id, paper_id, round(r, 6) AS relevance, rank FROM k WHERE rank <= 15""")
-def retrieval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir).withColumn("knowledge_level", F.array(F.concat(F.lit("L"), (1 + F.col("paper_id") % 6).cast("string"), F.lit("-x"))))
     found = seeds.retrieve(p.where("paper_id % 100 = 0"), p)
     return found.select("new_id", "paper_id", F.round("relevance", 6).alias("relevance"), "rank")
@@ -506,10 +492,10 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.first_rows(table(spark, sf_dir, "events"), "user_id", "event_type", pos="event_id").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT doc_id, lower(hex(ascii(lang))) AS x, length(text) // 4 + 150 AS tokens_in, (length(text) // 4 * 12) // 10 AS tokens_out, regexp_replace(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:80] AS slug FROM documents")
+@query("SELECT doc_id, length(text) // 4 + 150 AS tokens_in, (length(text) // 4 * 12) // 10 AS tokens_out, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:80] AS slug FROM documents")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = T.token_estimate(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.ascii("lang").cast("long"))).alias("x"), a.alias("tokens_in"), b.alias("tokens_out"), T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", a.alias("tokens_in"), b.alias("tokens_out"), T.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id AS paper_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -525,10 +511,10 @@ def enrichment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(papers(spark, sf_dir)).select("paper_id", "composite")
 
 
-@query(f"""WITH {_GRAPH}, a AS (SELECT *, CASE WHEN is_causal THEN 'already causal' WHEN base_score < 0.2 THEN 'no valid condition' END AS error FROM edges WHERE base_score > 0.1)
+@query(f"""WITH {_GRAPH}, a AS (SELECT *, CASE WHEN is_causal THEN 'already causal' WHEN base_score < 0.2 THEN 'no valid condition' END AS error FROM edges)
 SELECT id, CASE WHEN error IS NULL THEN 'causation' ELSE base_type END AS base_type, error, CASE WHEN error IS NULL THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence FROM a""")
 def promote_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade_graph(spark, sf_dir)[1].withColumn("history", F.array().cast("array<struct<action: string, timestamp: timestamp, details: map<string, string>>>")).where("base_score > 0.1")
+    edges = trade_graph(spark, sf_dir)[1].withColumn("history", F.array().cast("array<struct<action: string, timestamp: timestamp, details: map<string, string>>>"))
     asked = edges.select("id", F.array(F.when(F.col("base_score") < 0.2, "nonsense").otherwise("intervention_test")).alias("conditions"), F.lit(None).cast("double").alias("confidence"))
     return graph.promote(edges, asked, F.lit("2026-01-01")).select("id", "base_type", "error", "causal_promotion.confidence")
 
@@ -547,11 +533,16 @@ def split_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.split(nodes, edges, cuts)[0].select("id", "title")
 
 
-@query("SELECT 'edge::n-' || n_nationkey || '::r-' || n_regionkey AS id, 1.0::DOUBLE AS base_score FROM nation")
+@query(f"""WITH {_GRAPH} SELECT 'edge::' || source_id || '::' || r.id AS id, source_id AS node, r.id AS parent, list_sort(list(DISTINCT target_id)) AS beside
+FROM edges e, (SELECT id FROM nodes WHERE title = 'EUROPE') r GROUP BY source_id, r.id""")
 def reparent_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every customer with orders moves under one region, beside the nations that its orders link it to
     nodes, edges = trade_graph(spark, sf_dir)
-    moves = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("parent"))
-    return ontology.reparent(nodes, edges.where("false"), moves)[0].select("id", "base_score")
+    moves = edges.select(F.col("source_id").alias("node"), F.lit("EUROPE").alias("parent")).distinct()
+    after, log = ontology.reparent(nodes, edges, moves)
+    noted = log.select(F.regexp_extract("description", "moved (\\S+) to (\\S+) beside (.*)", 1).alias("node"), F.regexp_extract("description", "beside (.*)", 1).alias("_b"))
+    new = after.where(F.startswith("id", F.lit("edge::"))).select("id", F.col("source_id").alias("node"), F.col("target_id").alias("parent"))
+    return new.join(noted, "node").select("id", "node", "parent", F.split("_b", ",").alias("beside"))
 
 
 @query(f"WITH {_PAPERS}, m AS (SELECT 'years' AS branch, year::VARCHAR AS name FROM papers UNION ALL SELECT 'levels', 'L' || paper_id % 4 FROM papers) SELECT branch, name, count(*)::BIGINT AS n, greatest(0, count(*) - 8)::BIGINT AS more FROM m GROUP BY 1, 2")
@@ -585,7 +576,74 @@ def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.passing_first(scored, scored.where("passed"), 8).select("paper_id")
 
 
-@query("SELECT p_name AS ref, min('p-' || p_partkey) AS id FROM part GROUP BY p_name")
+@query("SELECT p_name AS ref, min('p-' || p_partkey) AS id FROM part GROUP BY p_name UNION ALL SELECT 'p-' || p_partkey, 'p-' || p_partkey FROM part UNION ALL SELECT 'no such node', NULL")
 def id_or_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
-    return ontology.resolve(nodes, nodes.select(F.col("title").alias("ref")).distinct())
+    asked = nodes.select(F.col("title").alias("ref")).union(nodes.select("id")).union(spark.createDataFrame([("no such node",)], "ref string"))
+    return ontology.resolve(nodes, asked.distinct())
+
+
+@query("SELECT doc_id::VARCHAR AS paper_id, left(split_part(text, chr(10), 1), 120) AS title, (2015 + doc_id % 12)::INT AS year, source, md5(text) AS abstract_md5 FROM documents")
+def search_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    rows = papers(spark, sf_dir).withColumn("paper_id", F.col("paper_id").cast("string"))
+    readers.write_search_file(rows, path, QUERY, year_min=2015, sources=["src0", "absent"])
+    return readers.search_file(spark, path).select("paper_id", "title", "year", "source", F.md5("abstract").alias("abstract_md5"))
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), e AS (SELECT unnest(['src0', 'absent']) AS source)
+SELECT source, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' ELSE 'empty' END AS status, coalesce(n, 0)::INT AS n, (SELECT count(*) FROM documents)::INT AS total_papers FROM e FULL JOIN c USING (source)""")
+def search_file_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    readers.write_search_file(papers(spark, sf_dir), path, QUERY, sources=["src0", "absent"])
+    foot = readers.search_footer(spark, path)
+    return foot.select(F.explode("statuses").alias("source", "s"), "total_papers").select("source", "s.status", F.col("s.count").alias("n"), "total_papers")
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    """The events, appended to a log in the shared folder."""
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    stream.append(e.select(F.col("ts").alias("t"), F.col("event_type").alias("e"), F.concat(F.lit("user-"), (F.col("user_id") % 10).cast("string")).alias("p"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("rest")), path)
+    return path
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS e, 'user-' || user_id % 10 AS p, date_trunc('second', ts)::TIMESTAMP AS t FROM events")
+def event_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream.read(spark, _logged(spark, sf_dir))
+    return rows.select(rows["rest"]["id"].alias("id"), "e", "p", F.date_trunc("second", "t").alias("t"))
+
+
+@query("SELECT event_type AS e, 'user-' || user_id % 10 AS p, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as a stream to its end, written by the streaming sink, and counted."""
+    path = _logged(spark, sf_dir)
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    live = stream.read(spark, path, stream=True).select("t", "e", "p")
+    live.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("e", "p").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GRAPH} SELECT id, source_id, target_id FROM edges")
+def attached_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = trade_graph(spark, sf_dir)
+    loose = edges.select(F.concat(F.lit("x-"), "id").alias("id"), "source_id", F.concat(F.lit("none-"), "target_id").alias("target_id"))
+    return graph.attached(edges.select("id", "source_id", "target_id").union(loose), nodes)
+
+
+@query(f"WITH {_GRAPH} SELECT id, CASE WHEN type = 'seed' THEN 'newest ' || id ELSE title END AS title, type FROM nodes")
+def patch_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trade_graph(spark, sf_dir)[0]
+    told = nodes.where("type = 'seed'")
+    changes = [told.select("id", F.concat(F.lit(w), "id").alias("title"), F.lit(None).cast("string").alias("type"), F.lit(k).alias("seq")) for k, w in enumerate(("older ", "newest "))]
+    unknown = told.select(F.concat(F.lit("none-"), "id").alias("id"), F.lit("x").alias("title"), F.lit("x").alias("type"), F.lit(9).alias("seq"))
+    return graph.patch(nodes, changes[1].union(changes[0]).union(unknown)).select("id", "title", "type")
+
+
+@query("""WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) SELECT n::BIGINT AS id, 'customer ' || c_custkey AS description FROM o
+UNION ALL SELECT (SELECT count(*) FROM customer) + n_nationkey + 1, 'nation ' || n_nationkey FROM nation""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("description"), F.struct(-F.col("c_acctbal"), F.col("c_custkey")).alias("seq"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("description"), F.col("n_nationkey").alias("seq"))
+    log = graph.append(spark.createDataFrame([], "id long, description string"), c)
+    return graph.append(log, n).select("id", "description")

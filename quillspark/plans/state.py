@@ -88,9 +88,12 @@ class Run:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if system.exists(path):
-            system.delete(path, False)
-        system.rename(part, path)
+        # one rename that replaces: the old note or the new one is there at any time
+        jvm, whole = self.spark._jvm, [system.makeQualified(p) for p in (part, path)]
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.valueOf("OVERWRITE")
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole[1].toUri(), self.spark._jsc.hadoopConfiguration()).rename(*whole, how)
 
     def status(self) -> dict[str, str]:
         return {p: "done" if self.done(p) else "pending" for p in PHASES}

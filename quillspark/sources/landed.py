@@ -4,12 +4,13 @@
     spark.dataSource.register(LandedPapers)
     spark.read.format("landed_papers").option("path", folder).load()
 
-One partition a file.  It stands for connectors to services: a live one replaces
+One partition a file, or a single one where ``max_results`` bounds all files together.  It stands for connectors to services: a live one replaces
 ``_rows`` and keeps the rest.  For files alone ``readers.search_file`` does the same in the JVM.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -22,9 +23,9 @@ _FIELDS = [x.strip().split(" ") for x in model.PAPER.split(", ")]
 _EMPTY = {"string": "", "int": 0, "array<string>": []}
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class LandedReader(DataSourceReader):
@@ -47,25 +48,25 @@ class LandedReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isfile(self.path):
-            return [_File(self.path)]
-        return [_File(f"{d}/{f}") for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if not f.startswith(("_", "."))]
+            return [_Files([self.path])]
+        files = [f"{d}/{f}" for d, _, names in sorted(os.walk(self.path)) for f in sorted(names) if not f.startswith(("_", "."))]
+        return [_Files(files)] if self.most else [_Files([f]) for f in files]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        n = 0
-        with open(partition.path, encoding="utf-8", errors="replace") as lines:
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        rows = (row for path in partition.paths for row in self._rows(path))
+        return itertools.islice(rows, self.most or None)
+
+    def _rows(self, path: str) -> Iterator[tuple]:
+        with open(path, encoding="utf-8", errors="replace") as lines:
             for line in lines:
-                if self.most and n >= self.most:
-                    return
                 try:
                     row = json.loads(line)
                 except ValueError:
                     continue
                 if not isinstance(row, dict) or row.get("type") in ("search_metadata", "sources_status"):
                     continue
-                if not self.first <= (row.get("year") or 0) <= self.last:
-                    continue
-                n += 1
-                yield tuple(row[name] if row.get(name) is not None else _EMPTY[kind] for name, kind in _FIELDS)
+                if self.first <= (row.get("year") or 0) <= self.last:
+                    yield tuple(row[name] if row.get(name) is not None else _EMPTY[kind] for name, kind in _FIELDS)
 
 
 class LandedPapers(DataSource):

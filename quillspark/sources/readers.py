@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .. import model
 from ..functions import text as T
@@ -73,12 +74,12 @@ def write_search_file(papers: DataFrame, path: str, query: str, *, year_min: int
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(raw map, pos) of records landed as JSON lines, a JSON list, or a list under a wrapper key."""
+    """(raw map, pos) of records landed as JSON lines, a JSON list, or a list under a wrapper key; ``pos`` rises within a file and is no other row's."""
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     kind = "array<map<string,string>>"
     inner = F.coalesce(F.when(F.startswith("v", F.lit("[")), F.from_json("v", kind)), *[F.from_json(F.get_json_object("v", f"$.{w}"), kind) for w in WRAPPERS])
     lines = F.filter(F.transform(F.split("v", "\n"), lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
-    return whole.select(F.posexplode(F.coalesce(inner, lines)).alias("i", "raw")).select("raw", F.col("i").cast("long").alias("pos"))
+    return whole.select(F.explode(F.coalesce(inner, lines)).alias("raw")).withColumn("pos", F.monotonically_increasing_id())
 
 
 def unified(rows: DataFrame, source: str, raw: str = "raw") -> DataFrame:
@@ -138,16 +139,18 @@ def works(rows: DataFrame, source: str = "works", *, year_min: int | None = None
 
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Seeds of a folder of JSON lists, in order of level and id as text, with ``seed_pos``.
+    """Seeds of a folder of JSON lists, in order of file name and place in the file, with ``seed_pos``.
 
     The seeds are one small dimension; a missing id, name or level is an error.
     """
-    rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(model.SEED).json(path)
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("_file"))
+    kind = ArrayType(StructType.fromDDL(model.SEED))
+    rows = files.select("_file", F.posexplode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("_i", "_s")).select("_file", "_i", "_s.*")
     whole = F.col("node_id").isNotNull() & F.col("name").isNotNull() & F.col("level").isNotNull()
     rows = rows.withColumn("node_id", F.when(whole, F.col("node_id")).otherwise(F.raise_error(F.lit("a seed lacks node_id, name or level"))))
     from pyspark.sql import Window as W
 
-    return rows.withColumn("seed_pos", F.row_number().over(W.orderBy("level", "node_id")))
+    return rows.withColumn("seed_pos", F.row_number().over(W.orderBy("_file", "_i"))).drop("_file", "_i")
 
 
 def markdown_seeds(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset, as in tests on one machine."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset and all of Spark is on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillspark.tables.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("quillspark.tables.dir", found)
     return found.rstrip("/")

@@ -7,13 +7,13 @@ from quillspark.plans import queries
 def test_pair_edges_of_more_than_200_papers(spark, sf_dir, monkeypatch):
     scored = spark.range(230).selectExpr("id AS paper_id", "0.3 + id / 1000 AS dry_score", "id AS pos")
     monkeypatch.setattr(queries, "_dry", lambda spark, sf_dir: scored)
-    got = queries.QUERIES["pair_edges_whole"](spark, sf_dir)
+    got = queries.QUERIES["pair_edges"](spark, sf_dir)
     assert got.count() == got.distinct().count() == 230 * 229 // 2
 
 
 def test_retrieval_takes_every_hundredth_paper(spark, sf_dir):
     ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 100 = 0").select("doc_id").collect()}
-    assert {r.new_id for r in queries.QUERIES["retrieval_whole"](spark, sf_dir).collect()} == ids
+    assert {r.new_id for r in queries.QUERIES["retrieval_topk"](spark, sf_dir).collect()} == ids
 
 
 def test_retrieval_does_not_depend_on_blocks(spark):
