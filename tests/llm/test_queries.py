@@ -1,8 +1,17 @@
 """The registered queries: columns, SQL results, and the pipeline against its operators' rules."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
+from quillspark.llm import mixing, token_store
+
+from . import brute
+from .test_near_copies import _heads
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 COLUMNS = {
     "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"},
@@ -40,23 +49,36 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
     from quillspark.llm._common import stored
 
-    from . import brute
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = {}
     for name, stage in pipeline.STAGES[:-1]:
+        clean = docs
         docs = stored(stage(spark, docs, sf_dir), f"test-{name}")
         assert docs.columns == list(pipeline.COLUMNS)
         kept[name] = {(r.doc_id, r.text) for r in docs.collect()}
     raw = {(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert kept["language"] == {x for x in raw if any(map(str.isalpha, x[1] or ""))}
-    classes = brute.components([(d, brute.fingerprint(t)) for d, t in kept["language"]])
-    assert {d for d, _ in kept["near_dedup"]} == {d for d, _, c in classes if d == c}
+    texts = {}
+    for d, t in sorted(kept["language"]):
+        assert texts.setdefault(d, t) == t  # an id is one row in these tables
+    assert {d for d, _ in kept["near_dedup"]} == _heads(texts)
     assert kept["decontaminate"] == {x for x in kept["near_dedup"] if x[0] not in {d for d, _ in brute.leaks(kept["near_dedup"], bench)}}
+    # the mix takes whole documents, twice at most, and comes within one document of each source's target
+    assert kept["mix"] <= kept["decontaminate"]
+    mixed = docs.collect()
+    copies, words, longest = Counter(r.doc_id for r in mixed), Counter(), Counter()
+    for r in mixed:
+        words[r.source] += len(brute.words(r.text))
+        longest[r.source] = max(longest[r.source], len(brute.words(r.text)))
+    assert max(copies.values()) <= 2
+    for r in mixing.mix(clean).select("source", "target").distinct().collect():
+        assert abs(words[r.source] - r.target) <= longest[r.source]
     final = pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert len(final) == docs.count()
-    assert len(pipeline.run(spark, sf_dir).collect()) == len(final)
+    rows = sorted((r.doc_id, r.text) for r in mixed)
+    encoder = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in final) == sorted(brute.token_rows(rows, encoder))
+    assert sorted(tuple(r) for r in pipeline.run(spark, sf_dir).collect()) == sorted(tuple(r) for r in final)
 
 
 def test_pipeline_takes_odd_rows(spark, sf_dir):
@@ -68,4 +90,5 @@ def test_pipeline_takes_odd_rows(spark, sf_dir):
         docs = table
         for name, stage in pipeline.STAGES:
             docs = stored(stage(spark, docs, sf_dir), f"odd-{name}")
-        assert docs.count() >= 0
+            if name == "near_dedup":  # null, empty and repeated rows go; a text without an id stays
+                assert sorted(r.text for r in docs.collect()) == (sorted({r[1] for r in rows if r[1]}) if table.count() else [])
