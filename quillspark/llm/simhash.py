@@ -11,8 +11,8 @@ the data and the pairs of a key do not.
 
 Fingerprints are made distinct first, so copies cost nothing.  A key with more than
 ``bucket`` distinct fingerprints is cut again by the same rule: of tau + 1 runs of the
-bits that it leaves free, a pair within tau bits agrees in at least one.  Every step
-fixes more bits, so no key stays large, whatever its share of the rows, and no pair is lost.
+bits that it leaves free, a pair within tau bits agrees in at least one, and counts in
+the first of them only.  Every step fixes more bits, and no pair is lost or found twice.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; a component's id is its smallest doc_id that is not null.
@@ -21,6 +21,7 @@ other; a component's id is its smallest doc_id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import forget, stored
 from ._words import groups
 from .components import components
 
 BITS, TAU, BUCKET, SHINGLE, SEED = 64, 2, 256, 3, 42
 #: Fingerprints to a key, on the average, up to which a ring is not cut finer.
 PER_KEY = 8
+#: A key is cut again if that leaves less than this part of its pairs.
+THINNER = 0.75
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -106,9 +109,9 @@ def _long(x: int) -> int:
 
 
 def _viable(difference: Column, start: Column, tau: int, segments: int) -> Column:
-    """Chains from ``start`` on stay within their budgets, up to the whole ring."""
+    """Chains from ``start`` on stay within their budgets, from the equal one up to the whole ring."""
     ok = F.lit(True)
-    for size in range(_equal_chain(segments, tau) + 1, segments + 1):
+    for size in range(_equal_chain(segments, tau), segments + 1):
         if size < segments and (size + 1) * tau // segments == size * tau // segments:
             continue  # the next longer chain has the same budget, so it has the say
         chain = F.element_at(F.array(*[F.lit(_long(c)) for c in _chains(segments, size)]), start + 1)
@@ -117,41 +120,65 @@ def _viable(difference: Column, start: Column, tau: int, segments: int) -> Colum
 
 
 def _cut(mask: int, parts: int) -> list[int]:
-    """The mask with each of ``parts`` runs of the bits that it leaves free."""
+    """The bits that the mask leaves free, in ``parts`` runs."""
     free = [i for i in range(BITS) if not mask >> i & 1]
     edge = [len(free) * i // parts for i in range(parts + 1)]
-    return [mask | sum(1 << i for i in free[edge[k] : edge[k + 1]]) for k in range(parts)]
+    return [sum(1 << i for i in free[edge[k] : edge[k + 1]]) for k in range(parts)]
 
 
 def links(distinct: DataFrame, *, tau: int = TAU, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) of all pairs within ``tau`` bits, found once or more."""
+    """Distinct fingerprints (fp) to edges (u, v), u < v: all pairs within ``tau`` bits, each once.
+
+    A pair counts only where it is met first: at the first segment from which it is viable,
+    and in the first run of each cut in which it agrees.  Each level's edges are a table of
+    their own.  A large key is cut while that makes fewer pairs to compare; what cutting
+    cannot thin out, fingerprints that nearly all are within reach of each other, is compared as it is.
+    """
     segments = segments or ring(distinct.count(), tau)
     if not 0 < tau < segments <= BITS:
         raise ValueError("the ring needs more segments than bits that may differ")
     spark = distinct.sparkSession
-    masks = _chains(segments, _equal_chain(segments, tau))
-    starts = F.array(*[F.struct(F.lit(i).alias("start"), F.lit(_long(m)).alias("mask")) for i, m in enumerate(masks)])
-    level = distinct.select("fp", F.explode(starts).alias("s")).select("s.start", "s.mask", "fp")
-    key, out = ["start", "mask", "key"], None
+    #: by node: the segment it starts from, the bits that its keys fix, and the runs in which its pairs have to differ
+    nodes = [(i, m, []) for i, m in enumerate(_chains(segments, _equal_chain(segments, tau)))]
+    starts = F.array(*[F.struct(F.lit(i).alias("node"), F.lit(_long(m)).alias("mask")) for i, (_, m, _) in enumerate(nodes)])
+    keyed = distinct.select("fp", F.explode(starts).alias("s")).select("s.node", "fp", F.col("fp").bitwiseAND(F.col("s.mask")).alias("key"))
+    key, out, written = ["node", "key"], [], []
+    difference = F.col("u").bitwiseXOR(F.col("v"))
+    earlier = F.exists(F.sequence(F.lit(0), F.col("start") - 1), lambda s: _viable(difference, s, tau, segments))
+    apart = F.forall("runs", lambda m: difference.bitwiseAND(m) != 0)
     while True:
-        keyed = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
         shared = stored(keyed.join(sizes, key), "segments")
-        # what so few free bits leave is no more than a bucket, or within tau bits altogether
-        small = (F.col("n") <= bucket) | (F.bit_count("mask") >= BITS - tau)
-        few = shared.where(small)
+        written.append(shared)
+        large = shared.where(F.col("n") > bucket)
+        cut: dict[int, range] = {}
+        for r in large.select("node").distinct().collect():  # of the tree of cuts, not of the data
+            start, mask, runs = nodes[r.node]
+            if mask.bit_count() < BITS - tau:
+                parts = _cut(mask, tau + 1)
+                cut[r.node] = range(len(nodes), len(nodes) + tau + 1)
+                nodes += [(start, mask | p, runs + parts[:k]) for k, p in enumerate(parts)]
+        if cut:
+            finer = spark.createDataFrame([(n, c, _long(nodes[c][1])) for n, cs in cut.items() for c in cs], "node int, child int, mask long")
+            below = large.join(F.broadcast(finer), "node").withColumn("below", F.col("fp").bitwiseAND(F.col("mask")))
+            pairs = lambda n: F.col(n).cast("double") * F.col(n)
+            counts = below.groupBy(*key, "child", "below").agg(F.first("n").alias("n"), F.count("*").alias("m"))
+            thinner = stored(counts.groupBy(*key).agg(F.first(pairs("n")).alias("before"), F.sum(pairs("m")).alias("after")).where(F.col("after") < THINNER * F.col("before")).select(*key), "thinner")
+            written.append(thinner)
+            many = not thinner.isEmpty()
+        else:
+            many = False
+        few = shared.where(F.col("n") <= bucket).unionByName(large.join(thinner, key, "left_anti")) if many else shared
         a, b = few.select(*key, F.col("fp").alias("u")), few.select(*key, F.col("fp").alias("v"))
-        difference = F.col("u").bitwiseXOR(F.col("v"))
-        near = a.join(b, key).where((F.col("u") < F.col("v")) & (F.bit_count(difference) <= tau) & _viable(difference, F.col("start"), tau, segments)).select("u", "v")
-        out = near if out is None else out.union(near)
-        many = shared.where(~small)
-        if many.isEmpty():
-            return out
-        # the same rule within a large key: of tau + 1 runs of the bits that are left, such a pair agrees in one
-        cut = {m: _cut(m, tau + 1) for m in set(masks)}
-        masks = [c for cs in cut.values() for c in cs]
-        finer = spark.createDataFrame([(_long(m), _long(c)) for m, cs in cut.items() for c in cs], "mask long, finer long")
-        level = many.select("start", "mask", "fp").join(F.broadcast(finer), "mask").select("start", F.col("finer").alias("mask"), "fp")
+        met = a.join(b, key).where((F.col("u") < F.col("v")) & (F.bit_count(difference) <= tau))
+        about = spark.createDataFrame([(i, s, [_long(x) for x in runs]) for i, (s, _, runs) in enumerate(nodes)], "node int, start int, runs array<long>")
+        first = met.join(F.broadcast(about), "node").where(_viable(difference, F.col("start"), tau, segments)).where(F.when(F.col("start") > 0, ~earlier).otherwise(True) & apart)
+        out.append(stored(first.select("u", "v"), "links"))
+        if not many:
+            break
+        keyed = below.join(thinner, key, "left_semi").select(F.col("child").alias("node"), "fp", F.col("below").alias("key"))
+    forget(*written)
+    return reduce(DataFrame.union, out)
 
 
 def classes(prints: DataFrame, **options) -> DataFrame:
