@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, html_text, language_id, mixing, nbsvm, prefix_trie, quality_rules, simhash, substring_dedup, token_store
+from . import chat_format, decontaminate, divergence, html_text, language_id, mixing, multiprobe, nbsvm, prefix_trie, quality_rules, simhash, substring_dedup, token_store
 from ._common import new_path, stored, table
 
 
@@ -77,9 +77,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_html_text, op3_chat_format, op4_token_store, op5_mixing, op6_quality_rules, op7_decontaminate, op8_simhash, op9_substring_dedup, op10_quality_classifier, op11_source_divergence, op12_prefix_trie)
+    for f in (op1_language_id, op2_html_text, op3_chat_format, op4_token_store, op5_mixing, op6_quality_rules, op7_decontaminate, op8_simhash, op9_substring_dedup, op10_quality_classifier, op11_source_divergence, op12_prefix_trie, op13_nearest_neighbours)
 }
 
 ORACLES = {"op3_chat_format": chat_format.ORACLE, "op5_mixing": mixing.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}

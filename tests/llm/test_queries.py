@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_simhash": {"doc_id", "fingerprint", "component_id"},
     "op9_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op10_quality_classifier": {"doc_id", "held_out", "score", "predicted"},
+    "op13_nearest_neighbours": {"query_id", "rank", "vec_id", "score"},
     "op12_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
     "op11_source_divergence": {"lang", "source", "part", "item", "value", "rank"},
 }
