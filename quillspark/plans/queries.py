@@ -282,14 +282,33 @@ def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).withColumns({"doi": F.lit(""), "arxiv_id": F.lit("")})
 
 
-@query()
+#: The ratio of matching blocks of every two titles that a distance leaves: the longest match, then what is left and right of it, again and again.
+_TITLES = f"""RECURSIVE {_PAPERS}, titles AS (SELECT lower(trim(title)) AS t, min(pos) AS p FROM papers WHERE lower(trim(title)) <> '' GROUP BY 1
+), later AS (SELECT a.t AS a, b.t AS b, a.p AS ap, b.p AS bp FROM titles a JOIN titles b ON a.p > b.p AND least(length(a.t), length(b.t)) >= greatest(length(a.t), length(b.t)) * 0.7391
+  WHERE levenshtein(a.t, b.t) <= 0.15 * (length(a.t) + length(b.t)) + strlen(a.t) - length(a.t) + strlen(b.t) - length(b.t) + 1e-9
+), near AS MATERIALIZED (SELECT row_number() OVER () AS id, *, length(a) AS la, length(b) AS lb FROM (SELECT * FROM later UNION ALL SELECT b, a, bp, ap FROM later)
+), cells AS MATERIALIZED (SELECT id, i, j, max(i) OVER (PARTITION BY id, i - j, i - n) - i + 1 AS f FROM (
+  SELECT id, i, j, row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS n FROM (SELECT id, b, lb, unnest(range(1, la + 1)) AS i, unnest(string_split(a, '')) AS x FROM near) JOIN (SELECT id, unnest(range(1, lb + 1)) AS j, unnest(string_split(b, '')) AS y FROM near) USING (id) WHERE x = y)
+), blocks AS (SELECT id, 1::BIGINT AS alo, la + 1 AS ahi, 1::BIGINT AS blo, lb + 1 AS bhi, 0::BIGINT AS k FROM near UNION ALL
+  SELECT id, u.alo, u.ahi, u.blo, u.bhi, u.k FROM (SELECT id, unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'k': k}}, {{'alo': i + k, 'ahi': ahi, 'blo': j + k, 'bhi': bhi, 'k': 0}}]) AS u FROM (
+    SELECT *, m // 1000000 + 1 AS k, 1000 - (m % 1000000) // 1000 AS i, 1000 - m % 1000 AS j FROM (
+      SELECT r.id, alo, ahi, blo, bhi, max((least(f, ahi - i, bhi - j) - 1) * 1000000 + (1000 - i) * 1000 + 1000 - j)::BIGINT AS m FROM blocks r JOIN cells c ON c.id = r.id AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY r.id, alo, ahi, blo, bhi)))
+), ratios AS (SELECT a, b, ap, bp, 2.0 * m / (la + lb) AS ratio FROM near JOIN (SELECT id, sum(k)::BIGINT AS m FROM blocks GROUP BY id) USING (id))"""
+
+
+@query(f"WITH {_TITLES} SELECT a AS new_title, b AS old_title, round(ratio, 6) AS ratio FROM ratios WHERE ap > bp AND ratio >= 0.85")
 def fuzzy_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_titles(_titled(spark, sf_dir)).select("new_title", "old_title", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+@query(f"""WITH {_TITLES}, turned AS (SELECT ap AS t, list(bp) AS them FROM ratios WHERE ratio >= 0.85 GROUP BY ap
+), line AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS step, paper_id, length(coalesce(abstract, '')) AS n, titles.p AS t, list_append(coalesce(them, []), titles.p) AS near FROM papers LEFT JOIN titles ON titles.t = lower(trim(title)) LEFT JOIN turned ON turned.t = titles.p
+), run AS (SELECT 0::BIGINT AS step, []::STRUCT(id BIGINT, t BIGINT, n BIGINT)[] AS kept UNION ALL
+  SELECT step, CASE WHEN met = 0 THEN list_append(kept, own) WHEN own.n > kept[met].n THEN kept[: met - 1] || [own] || kept[met + 1 :] ELSE kept END FROM (
+    SELECT l.step, r.kept, {{'id': l.paper_id, 't': l.t, 'n': l.n}} AS own, coalesce(list_position(list_transform(r.kept, lambda x: list_contains(l.near, x.t)), true), 0) AS met FROM run r JOIN line l ON l.step = r.step + 1)
+) SELECT k.id AS paper_id, title FROM (SELECT unnest(kept) AS k FROM (SELECT kept FROM run ORDER BY step DESC LIMIT 1)) JOIN papers ON paper_id = k.id""")
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.greedy(_titled(spark, sf_dir)).select("paper_id", "title")
+    return dedup.whole(_titled(spark, sf_dir)).select("paper_id", "title")
 
 
 _GRAPH = """nodes AS (

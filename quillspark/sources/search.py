@@ -43,7 +43,7 @@ def unified_search(query: str, first: dict[str, Source], *, computing: dict[str,
         new = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
         new = new.withColumn("pos", F.col("_s").cast("long") * (1 << 40) + F.col("pos")).drop("_s")
         whole = new if papers is None else papers.unionByName(new, allowMissingColumns=True)
-        papers = stored(dedup.greedy(whole), "search")
+        papers = stored(dedup.whole(whole), "search")
 
     step(first, True, False)
     step(computing, is_computing(query), True)

@@ -119,22 +119,50 @@ def test_dedup(spark):
     assert SequenceMatcher(None, "a study of plate", "a study of plates").ratio() >= 0.85
     kept = {r.paper_id: r for r in dedup.replay(rows).collect()}
     assert set(kept) == {"2", "4", "6", "7"}  # 2 took over the record of 1
-    assert sorted(dedup.greedy(rows).collect()) == sorted(kept.values())
+    assert sorted(dedup.whole(rows).collect()) == sorted(kept.values())
     assert {r.paper_id for r in dedup.exact(rows).collect()} == {"1", "2", "4", "6", "7"}
 
 
-def test_greedy_takes_over_as_a_replay_does(spark):
+def _wild(n, seed):
     import random
 
-    draw = random.Random(3)
+    draw = random.Random(seed)
     titles = ["a study of the control of plates", "noise in long ducts and pipes", "adaptive filters for rooms", "", "entirely other matters"]
     rows = []
-    for i in range(60):
-        doi, arxiv = draw.choice(["", "", f"10.1/{draw.randrange(12)}"]), draw.choice(["", "", f"2101.{draw.randrange(10000, 10008)}"])
-        t = draw.choice(titles)
-        rows.append((str(i), t + draw.choice(["", "s", " x"]) if t else f"unlike {draw.getrandbits(90):x}", "w" * draw.randrange(30), doi, arxiv, i))
-    table = spark.createDataFrame(rows, "paper_id string, title string, abstract string, doi string, arxiv_id string, pos bigint")
-    assert sorted(dedup.greedy(table).collect()) == sorted(dedup.replay(table).collect())
+    for i in range(n):
+        doi, arxiv = draw.choice(["", None, f"10.1/{draw.randrange(12)}"]), draw.choice(["", None, f"2101.{draw.randrange(10000, 10008)}"])
+        t = list(draw.choice(titles))
+        for _ in range(draw.randrange(7)):  # chains of titles, each near the next and not the one after
+            if t:
+                t[draw.randrange(len(t))] = draw.choice("abcxyz ")
+        rows.append((str(i), "".join(t) if t else draw.choice(["", None, f"unlike {draw.getrandbits(90):x}"]), draw.choice([None, "w" * draw.randrange(60)]), doi, arxiv, 7 * i))
+    return rows
+
+
+WILD = "paper_id string, title string, abstract string, doi string, arxiv_id string, pos bigint"
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_components_replay_as_one_sequence(spark, seed):
+    table = spark.createDataFrame(_wild(250, seed), WILD).withColumn("near", F.lit("clash")).withColumn("p", F.lit("clash"))
+    key = lambda r: r.pos
+    assert sorted(dedup.whole(table).collect(), key=key) == sorted(dedup.replay(table).collect(), key=key)
+
+
+def test_a_later_title_meets_the_record_that_took_over(spark):
+    a, b, c = "abcdefghijklmnopqrst", "abcdefghijklmnopqrXX", "abcdefghijklmnopXXXX"
+    rows = [("1", a, "w", "", "", 1), ("2", b, "ww", "", "", 2), ("3", c, "", "", "", 3), ("4", a, "", "", "", 4)]
+    assert SequenceMatcher(None, c, a).ratio() < 0.85 <= SequenceMatcher(None, c, b).ratio()
+    assert {r.paper_id for r in dedup.whole(spark.createDataFrame(rows, WILD)).collect()} == {"2"}  # 3 is near 2, which stands for 1
+    rows[1] = ("2", b, "", "", "", 2)
+    assert {r.paper_id for r in dedup.whole(spark.createDataFrame(rows, WILD)).collect()} == {"1", "3"}
+    assert dedup.whole(spark.createDataFrame([], WILD)).count() == 0
+
+
+def test_one_title_for_a_third_of_the_papers(spark):
+    rows = [(str(i), "the very same title" if i % 3 == 0 else f"{i:040b}"[::-1] + f"{i * 7919:x}", "w" * (i % 50), "", "", i) for i in range(300)]
+    table = spark.createDataFrame(rows, WILD)
+    assert {r.paper_id for r in dedup.whole(table).collect()} == {r.paper_id for r in dedup.replay(table).collect()}
 
 
 def test_similar_titles_lose_no_pair(spark, sf_dir):
