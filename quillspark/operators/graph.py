@@ -100,8 +100,8 @@ def pairs(scored: DataFrame, *, id: str = "paper_id", score: str = "dry_score",
     return a.join(b, "blk").where("a_rn < b_rn").select("source_id", "target_id", "base_score", F.col("a_rn").cast("long").alias("rank"))
 
 
-def build(papers: DataFrame, dry: DataFrame, reviewed: DataFrame | None = None, matches: DataFrame | None = None, seeds: DataFrame | None = None, *, most_pairs: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a run: papers, their scores, links of papers and of seeds; the last write of an id wins."""
+def build(papers: DataFrame, dry: DataFrame, reviewed: DataFrame | None = None, matches: DataFrame | None = None, seeds: DataFrame | None = None, *, most_pairs: int | None = None, paired: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a run: papers, their scores, links of papers (unless ``paired`` is false) and of seeds; the last write of an id wins."""
     pid = F.col("paper_id").cast("string")
     none = F.array().cast("array<string>")
 
@@ -119,8 +119,9 @@ def build(papers: DataFrame, dry: DataFrame, reviewed: DataFrame | None = None,
         b2 = F.concat(F.lit("b2-"), pid)
         nodes = nodes.unionByName(read.select(*node(b2, "score", F.format_string("B2:%.1f", "mean_score"), F.lit(0))).withColumn("seq", F.lit(3)))
         edges = edges.unionByName(read.select(*correlation(pid, b2, F.col("mean_score") / 5.0)).withColumn("seq", F.lit(3)))
-    linked = pairs(dry, most=most_pairs)
-    edges = edges.unionByName(linked.select(*correlation(F.col("source_id"), F.col("target_id"), F.col("base_score"))).withColumn("seq", F.lit(4)))
+    if paired:
+        linked = pairs(dry, most=most_pairs)
+        edges = edges.unionByName(linked.select(*correlation(F.col("source_id"), F.col("target_id"), F.col("base_score"))).withColumn("seq", F.lit(4)))
     if matches is not None:
         scores = matches.select(pid.alias("p"), F.explode("match_scores").alias("s", "v"))
         edges = edges.unionByName(scores.select(*correlation(F.col("p"), F.col("s"), F.col("v"), F.format_string("seed match: %.3f", "v"))).withColumn("seq", F.lit(5)))

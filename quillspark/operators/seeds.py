@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.tables import stored
 
 TOP, LEAST = 5, 0.15
 PREFIXES = "^(method|math|phys|axiom|meta)-"
@@ -98,24 +99,63 @@ def level_proximity(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
-def retrieve(new: DataFrame, known: DataFrame, top: int = 15, block: int = 256) -> DataFrame:
+#: Papers that a title word may have to be looked up paper by paper; commoner words are looked up by classes.
+COMMON = 4096
+
+
+def retrieve(new: DataFrame, known: DataFrame, top: int = 15, common: int = COMMON) -> DataFrame:
     """(new_id, paper_id, relevance, rank): the known papers most like each new one.
 
-    ``new`` is gathered into rows of about ``block`` papers, each of which meets every known paper; each task keeps
-    its own best ``top`` for each new paper before anything is shuffled.  Half of the relevance
-    is the Jaccard overlap of words over three letters of the title (and keywords), half the proximity of levels.
+    Half of the relevance is the Jaccard overlap of words over three letters of the title (and keywords), half the
+    proximity of levels.  Nothing is compared with all papers: an inverted index leads from a paper's words to those that share one, and
+
+    * papers without a word in common differ by their levels only, so for each set of levels the best ``top`` by level and id do;
+    * papers that share a word of at most ``common`` papers are met one by one;
+    * papers that share commoner words only are alike if they have the same ones, the same levels and as many words
+      in all, so of each such class the ``top`` smallest ids do, and a new paper whose common words cannot lift any to its
+      ``top``-th relevance so far does without.
     """
-    words = lambda df: F.array_distinct(F.concat(T.long_words(F.col("title")), F.transform(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), lambda k: F.lower(F.trim(k))) if "keywords" in df.columns else F.array().cast("array<string>")))
-    a = new.select(F.col("paper_id").alias("new_id"), words(new).alias("a_w"), F.col("knowledge_level").alias("a_l"))
-    b = known.select("paper_id", T.long_words(F.col("title")).alias("b_w"), F.col("knowledge_level").alias("b_l"))
-    blocks = -(-a.count() // block) or 1
-    packed = a.groupBy(F.pmod(F.xxhash64("new_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("new_id", "a_w", "a_l")).alias("_new"))
-    rows = b.crossJoin(F.broadcast(packed) if blocks <= 64 else packed).select("paper_id", "b_w", "b_l", F.explode("_new").alias("n"))
-    union = F.greatest(F.size(F.array_union(F.col("n.a_w"), F.col("b_w"))), F.lit(1))
-    score = 0.5 * (F.size(F.array_intersect(F.col("n.a_w"), F.col("b_w"))) / union) + 0.5 * level_proximity(F.col("n.a_l"), F.col("b_l"))
-    scored = rows.select(F.col("n.new_id").alias("new_id"), "paper_id", score.alias("relevance")).where("new_id <> paper_id")
+    keywords = lambda df: F.transform(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), lambda k: F.lower(F.trim(k))) if "keywords" in df.columns else F.array().cast("array<string>")
+    levels = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col("knowledge_level"), F.array().cast("array<string>")), T.level_number), lambda x: x.isNotNull())))
+    a = stored(new.where("paper_id IS NOT NULL").select(F.col("paper_id").alias("new_id"), F.array_distinct(F.concat(T.long_words(F.col("title")), keywords(new))).alias("a_w"), levels.alias("a_l")), "retrieve-new")
+    b = stored(known.where("paper_id IS NOT NULL").select("paper_id", T.long_words(F.col("title")).alias("b_w"), levels.alias("b_l")), "retrieve-known")
+    near = lambda x, y: F.coalesce(F.array_max(F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: 1.0 - 0.15 * F.abs(i - j))))), F.lit(0.0))
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("paper_id"))
+
+    # levels alone: six numbers make 64 sets at most, of top + 1 ids each
+    heads = b.withColumn("_n", first("b_l")).where(F.col("_n") <= top + 1).select("b_l", "paper_id")
+    met = a.select("a_l").distinct().join(F.broadcast(heads)).withColumn("near", near(F.col("a_l"), F.col("b_l")))
+    met = met.withColumn("_n", F.row_number().over(W.partitionBy("a_l").orderBy(F.desc("near"), "paper_id"))).where(F.col("_n") <= top + 1)
+    level_only = a.join(met.groupBy("a_l").agg(F.collect_list("paper_id").alias("ids"), F.max("near").alias("most")), "a_l")
+    found = level_only.select("new_id", F.explode("ids").alias("paper_id"))
+
+    postings = b.select("paper_id", F.explode("b_w").alias("w"))
+    frequent = stored(postings.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > common).select("w"), "retrieve-common")
+    asked = a.select("new_id", F.explode("a_w").alias("w"))
+    rare = asked.join(postings.join(frequent, "w", "left_anti"), "w").select("new_id", "paper_id")
+    both = F.size(F.array_intersect("a_w", "b_w"))
+    relevance = lambda shared, of: 0.5 * (shared / F.greatest(F.size("a_w") + of - shared, F.lit(1))) + 0.5 * near(F.col("a_l"), F.col("b_l"))
+    pairs = found.union(rare).where("new_id <> paper_id").distinct().join(a, "new_id").join(b, "paper_id").select("new_id", "paper_id", relevance(both, F.size("b_w")).alias("relevance"))
     order = W.partitionBy("new_id").orderBy(F.desc("relevance"), "paper_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = stored(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "retrieve-best")
+    if frequent.isEmpty():
+        return best
+
+    floor = best.where(F.col("rank") == top).select("new_id", F.col("relevance").alias("floor"))
+    held = asked.join(frequent, "w").groupBy("new_id").agg(F.count("*").alias("held"), F.collect_list("w").alias("a_c"))
+    could = 0.5 * (F.col("held") / F.size("a_w")) + 0.5 * F.col("most")
+    open_ = held.join(level_only.select("new_id", "a_w", "a_l", "most"), "new_id").join(floor, "new_id", "left").where(F.col("floor").isNull() | (could >= F.col("floor")))
+    own = postings.join(frequent, "w").groupBy("paper_id").agg(F.array_sort(F.collect_set("w")).alias("b_c"))
+    kind = ["b_c", "b_l", "b_n"]
+    alike = b.join(own, "paper_id").select("paper_id", "b_c", "b_l", F.size("b_w").alias("b_n"))
+    classes = alike.withColumn("_n", first(*kind)).where(F.col("_n") <= top + 1).groupBy(*kind).agg(F.collect_list("paper_id").alias("ids"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "retrieve-classes")
+    meet = open_.select("new_id", F.explode("a_c").alias("w")).join(classes.select("class", F.explode("b_c").alias("w")), "w").select("new_id", "class").distinct()
+    shared = F.size(F.array_intersect("a_c", "b_c"))
+    lifted = meet.join(open_.select("new_id", "a_w", "a_l", "a_c"), "new_id").join(classes, "class").select("new_id", F.explode("ids").alias("paper_id"), relevance(shared, F.col("b_n")).alias("relevance"))
+    # a paper of a class that shares a rarer word as well was met by itself, with no less
+    merged = best.drop("rank").union(lifted.where("new_id <> paper_id")).groupBy("new_id", "paper_id").agg(F.max("relevance").alias("relevance"))
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def template_similarity(a: Column, b: Column) -> Column:

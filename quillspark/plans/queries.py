@@ -228,7 +228,7 @@ SELECT paper_id, b1, b2, row_number() OVER (ORDER BY b2 DESC, b1 DESC, title, pa
 def score_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (1.0 + F.col("quality") + F.col("toxic")).alias("mean_score"))
     p = papers(spark, sf_dir)
-    nodes, edges = graph.build(p, _dry(spark, sf_dir), said)
+    nodes, edges = graph.build(p, _dry(spark, sf_dir), said, paired=False)  # an index of scores reads score edges only
     return graph.score_index(nodes, edges).select("paper_id", "b1", "b2", "rank")
 
 
