@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import file_name, text_or_empty
+from ..sources import notes as note_files
 from . import graph, reports
 
 
@@ -129,20 +130,18 @@ def empty_vault(spark) -> DataFrame:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """Notes as a table partitioned by folder; one file a note is for small vaults (``write_files``)."""
+    """Notes as a table partitioned by folder; ``write_files`` makes one file a note."""
     notes.withColumn("folder", F.regexp_extract("name", "^(.*)/", 1)).write.mode("overwrite").partitionBy("folder").json(path)
 
 
-def write_files(notes: DataFrame, path: str, most: int = 10_000) -> int:
-    """One file a note in a folder of this machine; refused beyond ``most`` notes."""
-    import os
+def write_files(notes: DataFrame, path: str) -> None:
+    """One file a note under ``path``, written by tasks: all of them or none (see ``sources.notes``)."""
+    note_files.write(notes, path)
 
-    rows = notes.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} notes: use write_notes")
-    for r in rows:
-        to = os.path.join(path, r["name"])
-        os.makedirs(os.path.dirname(to), exist_ok=True)
-        with open(to, "w", encoding="utf-8") as f:
-            f.write(r["text"])
-    return len(rows)
+
+def plain_notes(papers: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """(name, text) of a note for each paper from its own row, and its dry score where there is one; no graph is needed."""
+    rows = papers.join(scored.select("paper_id", "dry_score"), "paper_id", "left") if scored is not None else papers.withColumn("dry_score", F.lit(None).cast("double"))
+    fields = {"id": quoted(F.col("paper_id").cast("string")), "title": quoted(F.col("title")), "year": F.coalesce(F.col("year"), F.lit(0)).cast("string"), "b1": F.when(F.col("dry_score").isNotNull(), F.format_string("%.4f", "dry_score")).otherwise("—")}
+    body = F.concat(front_matter(fields), F.lit("\n# "), text_or_empty(F.col("title")), F.lit("\n\n"), text_or_empty(F.col("abstract")), F.lit("\n"))
+    return rows.select(F.concat(F.lit("papers/"), file_name(F.col("paper_id").cast("string")), F.lit(".md")).alias("name"), body.alias("text"))

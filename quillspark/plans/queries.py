@@ -11,10 +11,11 @@ from pyspark.sql import Window as W
 
 from ..functions import replies
 from ..functions import text as T
-from ..operators import dedup, graph, ontology, reports, scoring, screening, seeds
-from ..sources import readers
+from ..operators import dedup, graph, ontology, render, reports, scoring, screening, seeds
+from ..sources import notes, readers
 from ..sources.tables import shared_dir
 from ..streaming import events as stream
+from ..streaming.results import Results
 from .fixtures import BACKGROUND, INTENT, NOW, QUERY, dealt, papers, table, trade_graph
 from .fixtures import seeds as corpus_seeds
 
@@ -639,7 +640,7 @@ def event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _logged(spark, sf_dir)
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     live = stream.read(spark, path, stream=True).select("t", "e", "p")
-    live.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.to_table(live, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("e", "p").agg(F.count("*").alias("n"))
 
 
@@ -666,3 +667,55 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("description"), F.col("n_nationkey").alias("seq"))
     log = graph.append(spark.createDataFrame([], "id long, description string"), c)
     return graph.append(log, n).select("id", "description")
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS e, 'user-' || user_id % 10 AS p FROM events")
+def event_log_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's first part read to its end, then, from the checkpoint, what came after."""
+    out = f"{shared_dir(spark)}/resumed-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("ts").alias("t"), F.col("event_type").alias("e"), F.concat(F.lit("user-"), (F.col("user_id") % 10).cast("string")).alias("p"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("rest"))
+    middle = e.agg(((F.min("event_id") + F.max("event_id")) / 2).cast("long")).first()[0]
+    for part in (rows["rest"]["id"].cast("long") <= F.lit(middle), ~F.coalesce(rows["rest"]["id"].cast("long") <= F.lit(middle), F.lit(False))):
+        stream.append(rows.where(part), f"{out}/log")
+        live = stream.read(spark, f"{out}/log", stream=True, files=2)
+        stream.to_table(live.select(live["rest"]["id"].alias("id"), "e", "p"), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first event of each kind, from a stream of three parts in order of time."""
+    out = f"{shared_dir(spark)}/first-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    part = F.least(F.floor((F.unix_micros("ts") - F.col("lo")) * 3 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))), F.lit(2))
+    cut = e.join(F.broadcast(e.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")))).withColumn("part", part).select(*e.columns, "part")
+    keys = ["user_id", "event_type"]
+    for i in range(3):
+        cut.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{out}/events")
+        live = spark.readStream.schema(e.schema).parquet(f"{out}/events")
+        stream.to_table(stream.first_by_time(live, keys), f"{out}/rows", f"{out}/state").awaitTermination()
+    return stream.settled(spark.read.parquet(f"{out}/rows"), keys).select(*keys, "event_id")
+
+
+@query("SELECT doc_id AS paper_id, round((1.0 + quality * 3 + toxic) / 1.0, 2)::DOUBLE AS mean_score FROM labels")
+def review_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of a stream of papers, kept batch by batch; the second half comes later, with all of the first again."""
+    out = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), "quality", "toxic")
+    kept = Results(spark, f"{out}/results", "paper_id long, mean_score double")
+    work = lambda p: p.select("paper_id", F.round(1.0 + F.col("quality") * 3 + F.col("toxic"), 2).alias("mean_score"))
+    for some in (rows.where("paper_id % 2 = 0"), rows):
+        some.write.mode("append").parquet(f"{out}/papers")
+        live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/papers")
+        kept.follow(live, f"{out}/state", work).awaitTermination()
+    return kept.read()
+
+
+@query(f"""WITH {_PAPERS}, q AS (SELECT *, '"' || replace(replace(coalesce(title, ''), '\\', '\\\\'), '"', '\\"') || '"' AS t FROM papers)
+SELECT 'papers/' || paper_id || '.md' AS name, sha256(concat('---', chr(10), 'id: "', paper_id, '"', chr(10), 'title: ', t, chr(10), 'year: ', year, chr(10), 'b1: —', chr(10), '---', chr(10), chr(10), '# ', coalesce(title, ''), chr(10), chr(10), coalesce(abstract, ''), chr(10))) AS text_sha256 FROM q""")
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a paper, written by tasks and read back."""
+    path = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}"
+    render.write_files(render.plain_notes(papers(spark, sf_dir)), path)
+    return notes.read(spark, path).select("name", F.sha2("text", 256).alias("text_sha256"))

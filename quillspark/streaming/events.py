@@ -5,9 +5,13 @@ Every transformation takes a batch or a stream alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import model
 from ..operators import reports
@@ -24,8 +28,12 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.where("t IS NOT NULL AND e IS NOT NULL").withColumn("rest", F.map_filter("rest", lambda k, v: ~k.isin("t", "e", "p")))
 
 
-def read(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    return parsed(spark.readStream.schema(RAW).text(path) if stream else spark.read.text(path))
+def read(spark: SparkSession, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """A log as a batch or a stream; ``files`` bounds what a micro-batch takes."""
+    if not stream:
+        return parsed(spark.read.text(path))
+    source = spark.readStream.schema(RAW)
+    return parsed((source.option("maxFilesPerTrigger", files) if files else source).text(path))
 
 
 def append(events: DataFrame, path: str) -> None:
@@ -61,6 +69,40 @@ def first_seen(events: DataFrame, keys: list[str], *, time: str = "ts", late: st
     return _watched(events, time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+def first_by_time(events: DataFrame, keys: list[str], *, time: str = "ts", order: str = "event_id", late: str = "2 hours") -> DataFrame:
+    """(keys, order, time): each key's first event by time and ``order``.
+
+    On a stream each key has a state, the first event so far.  An event that comes before it corrects
+    it: the key is put out again, and ``settled`` takes the last word.  What comes after the watermark has passed its time
+    counts no more.  A key that has had its last event a watermark ago keeps its state, so that it is never first twice.
+    """
+    rows = events.select(*keys, order, F.col(time).cast("timestamp").alias(time))
+    if not events.isStreaming:
+        return settled(rows, keys, time=time, order=order)
+    shape = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(f"{k} {t}" for k, t in shape.items())
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get if state.exists else None
+        first = None
+        for rows in frames:
+            r = rows.sort_values([time, order]).iloc[:1]
+            now = (int(r[time].iloc[0].value // 1000), int(r[order].iloc[0]))
+            if best is None or now < best:
+                best, first = now, r
+        if first is not None:
+            state.update(best)
+            yield first[list(shape)]
+
+    watched = rows.withWatermark(time, late)
+    return watched.groupBy(*keys).applyInPandasWithState(run, out, "at long, place long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled(found: DataFrame, keys: list[str], *, time: str = "ts", order: str = "event_id") -> DataFrame:
+    """What ``first_by_time`` put out, a row a key."""
+    return found.groupBy(*keys).agg(F.min(F.struct(time, order)).alias("_f")).select(*keys, F.col(f"_f.{order}").alias(order), F.col(f"_f.{time}").alias(time))
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", form: str = "parquet") -> StreamingQuery:
     """Everything that is there now, exactly once: a run that is taken up again goes on from its checkpoint."""
     return stream.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
