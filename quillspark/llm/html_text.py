@@ -4,7 +4,8 @@ A page is cut into flat text blocks at every tag that is not inline.  A block is
 described by its word count and link density, those of the blocks before and after
 it, and by the names (elements, classes, ids, roles) of what encloses it.  How far a
 name speaks for or against article text is counted in a small labelled table
-(``training_pages``); a name that the table does not have says nothing.  A decision
+(``training_pages``); a name that the table does not have says nothing, and a compound
+no more than its head ("cookie-banner" is a banner, "social-issues" are issues).  A decision
 tree grown on the same table decides.
 
 One pass reads a page from left to right and never looks at a character twice but
@@ -95,8 +96,8 @@ def _inside(outer: Place, tag: str, attrs: str) -> Place:
     own = names(tag, attrs)
     kind = _KINDS.get(tag, outer.kind if tag not in ("div", "section", "table", "body") else "")
     if tag in _ARTICLE:
-        # an element around the article stays around it; the article's own names count within
-        return Place(True, own, outer.around | outer.within, kind)
+        # an element around the article stays around it; what the article is called itself is another matter than a part of it
+        return Place(True, frozenset(x if x[0] == "<" or x == "hidden" else f"={x}" for x in own), outer.around | outer.within, kind)
     if own <= outer.within:
         return outer if kind == outer.kind else dataclasses.replace(outer, kind=kind)
     return Place(outer.article, outer.within | own, outer.around, kind)
@@ -211,9 +212,14 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+#: Last words of names that say no more than that something is there, and words that make a phrase of a name, in which the last word is not the head.
+_FRAME = frozenset("area bar block box col column container group holder inner item link list outer panel row slot unit wrap wrapper".split())
+_JOINING = frozenset("a about and at by for from in of on or the to with".split())
+
+
 @dataclasses.dataclass
 class Speech:
-    """Log odds of article text under a name, as counted in labelled blocks; ``^`` marks a name that stands around an article."""
+    """Log odds of article text under a name, as counted in labelled blocks; ``^`` marks a name that stands around an article, ``=`` an article's own."""
 
     odds: dict[str, float]
 
@@ -226,11 +232,16 @@ class Speech:
         return cls({k: math.log((a + 0.5) / (b + 0.5)) for k, (b, a) in seen.items()})
 
     def of(self, name: str) -> float:
-        """A compound that the table does not have says what its least favourable word says."""
-        if name in self.odds:
-            return self.odds[name]
-        mark = "^" if name.startswith("^") else ""
-        return min((self.odds.get(mark + x, 0.0) for x in name.removeprefix("^").split("-")), default=0.0)
+        """A compound that the table does not have says what its head says, the last word that is no mere frame; other words, and an article's own, say nothing."""
+        if name in self.odds or "-" not in name:
+            return self.odds.get(name, 0.0)
+        mark = "^" if name[0] == "^" else ""
+        parts = name[len(mark) :].split("-")
+        if name[len(mark)] == "=" or _JOINING & set(parts):
+            return 0.0
+        while len(parts) > 1 and parts[-1] in _FRAME:
+            parts.pop()
+        return self.odds.get(mark + "-".join(parts), self.odds.get(mark + parts[-1], 0.0))
 
     def extremes(self, names: Iterable[str]) -> tuple[float, float]:
         """How far the names speak against article text at most, and for it."""
@@ -349,7 +360,8 @@ def training_pages(n: int = 700, seed: int = 3) -> list[str]:
             return draw.choice([t for t in _TAGS if not (own_header and t.startswith("<header"))]).format(filling())
         name = draw.choice(_BESIDE) if draw.random() < 0.8 else draw.choice(_READERS)
         said = draw.choice(('class="{0}"', 'id="{0}"')).format(name)
-        body = "".join(f"<article>{filling()}</article>" for _ in range(draw.randint(1, 3))) if name in _READERS and draw.random() < 0.5 else filling()
+        # readers' words may be articles, of that name or none
+        body = "".join(f"<article{draw.choice(('', '', ' class=comment', ' class=reply', ' class=response'))}>{filling()}</article>" for _ in range(draw.randint(1, 3))) if name in _READERS and draw.random() < 0.5 else filling()
         return draw.choice(("<div {0}>{1}</div>", "<section {0}>{1}</section>", "<ul {0}>{1}</ul>")).format(said, body)
 
     def article() -> str:
