@@ -16,7 +16,7 @@ shuffle: what repeats there is settled there, and one copy is sent on behalf of
 so a passage in a third of all documents sends one entry a batch.  A false match of
 the short hash only adds a window to step 2, which compares 128 bits.
 
-Hits and spans go back to their documents by shuffle, packed by shard of document.
+Hits and spans go back to their texts by shuffle, packed by shard of document and text.
 Texts without any stay where they are: a bitmap of ``SLOTS`` bits over hashed
 document ids, as at most ``SLOTS`` / 64 broadcast rows, tells the few that have to
 move, at any size of the input.
@@ -48,8 +48,10 @@ _LAST = (1 << 63) - 1
 
 #: Buckets from 0 on hold hashes; a bucket of -1 - n holds positions for shard n of the documents, without hashes.
 _PACKED = "bucket int, hashes binary, positions binary, docs binary"
-_FOUND = "rid long, spans array<struct<tkey: long, data: binary>>"
-_FOUND_ARROW = pa.schema([("rid", pa.int64()), ("spans", pa.list_(pa.struct([("tkey", pa.int64()), ("data", pa.binary())])))])
+_FOUND = "rid long, tkey long, data binary"
+_FOUND_ARROW = pa.schema([("rid", pa.int64()), ("tkey", pa.int64()), ("data", pa.binary())])
+#: What a row of documents and a found row meet by: rows of one id, or of none, are told apart by their texts.
+_TEXT = ["rid", "tkey"]
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -91,8 +93,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _sharded(rid: np.ndarray, tkey: np.ndarray, doc: np.ndarray, pos: np.ndarray, shards: int) -> list[tuple]:
-    """Packed rows of positions, one for each shard of documents; entries come in order of document."""
-    shard = (mix(rid.view(np.uint64)) % U64(shards)).astype(np.int64)[doc]
+    """Packed rows of positions, one for each shard of texts; entries come in order of document."""
+    shard = (mix(rid.view(np.uint64) ^ mix(tkey.astype(np.uint64))) % U64(shards)).astype(np.int64)[doc]
     return list(_rows(-1 - shard, np.zeros((len(doc), 0), np.uint8), pos, doc, rid, tkey))
 
 
@@ -108,18 +110,16 @@ def _table_rows(table: pa.Table) -> list[tuple]:
 
 
 def _gathered(make):
-    """A shard's packed positions to a row for each document; ``make`` turns sorted positions into a span's data."""
+    """A shard's packed positions to a row for each text of a document; ``make`` turns sorted positions into a span's data."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rid, tkey, pos = _entries(_table_rows(table))
         order = np.lexsort((pos, tkey, rid))
         rid, tkey, pos = rid[order], tkey[order], pos[order]
         edge = np.flatnonzero((np.diff(rid) != 0) | (np.diff(tkey) != 0)) + 1
-        edge = [0, *edge.tolist(), len(rid)]
-        out: dict[int, list[dict]] = {}
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            out.setdefault(int(rid[a]), []).append({"tkey": int(tkey[a]), "data": make(pos[a:b])})
-        return pa.Table.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), _FOUND_ARROW.field(1).type)], schema=_FOUND_ARROW)
+        edge = np.concatenate([[0], edge, [len(rid)]]) if len(rid) else np.zeros(1, np.int64)
+        data = [make(pos[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(rid[edge[:-1]]), pa.array(tkey[edge[:-1]]), pa.array(data, pa.binary())], schema=_FOUND_ARROW)
 
     return run
 
@@ -161,7 +161,7 @@ def _probes(buckets: int, shards: int, window: int):
                 local = np.flatnonzero(mine[where] == h)
                 counts, leads = _counts_of(h[local])
                 settled = local[counts > 1]
-                out = _sharded(rid, tkey, doc[settled], pos[settled], shards)
+                out = _by_text(rid[doc[settled]], tkey[doc[settled]], pos[settled], shards)
                 keep = np.ones(len(h), bool)
                 keep[local[(counts > 1) & ~leads]] = False
                 anchor[local[counts > 1]] = True
@@ -205,18 +205,21 @@ def _hits(shards: int):
 
 
 def _by_text(rid: np.ndarray, tkey: np.ndarray, pos: np.ndarray, shards: int) -> list[tuple]:
-    """Packed rows by shard of entries in any order."""
+    """Packed rows by shard of entries in any order, each once: rows that repeat a text say nothing new."""
     if not len(rid):
         return []
-    order = np.lexsort((tkey, rid))
+    order = np.lexsort((pos, tkey, rid))
     rid, tkey, pos = rid[order], tkey[order], pos[order]
     new = np.ones(len(rid), bool)
     new[1:] = (np.diff(rid) != 0) | (np.diff(tkey) != 0)
+    once = new.copy()
+    once[1:] |= np.diff(pos) != 0
+    rid, tkey, pos, new = rid[once], tkey[once], pos[once], new[once]
     return _sharded(np.ascontiguousarray(rid[new]), tkey[new], np.cumsum(new) - 1, pos, shards)
 
 
 def _windows(buckets: int, shards: int, window: int):
-    """Rows (rid, text, spans) with hits to packed rows of the windows around them."""
+    """Rows (rid, text, data) with hits to packed rows of the windows around them."""
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +228,10 @@ def _windows(buckets: int, shards: int, window: int):
                 words = Words(texts)
                 rid, tkey = _ids(part, texts)
                 around = []
-                for i, spans in enumerate(part.column(2).to_pylist()):
+                for i, data in enumerate(part.column(2).to_pylist()):
                     n, o = int(words.counts[i]), int(words.offsets[i])
-                    hits = [np.frombuffer(s["data"], "<u4") for s in spans or () if s["tkey"] == tkey[i]]
-                    if hits and n >= window:
-                        q = np.concatenate(hits).astype(np.int64)
+                    if data and n >= window:
+                        q = np.frombuffer(data, "<u4").astype(np.int64)
                         # windows that hold the run [q, q + block) start in [q + block - window, q]
                         start = np.maximum(q + block - window, 0)
                         delta = np.zeros(n + window + 1, np.int32)
@@ -254,7 +256,7 @@ def _windows(buckets: int, shards: int, window: int):
                 out = []
                 lost = np.flatnonzero(gone)
                 if len(lost):
-                    out += _sharded(rid, tkey, doc[lost], pos[lost], shards)
+                    out += _by_text(rid[doc[lost]], tkey[doc[lost]], pos[lost], shards)
                 kept = ~gone
                 packed = np.stack([h[kept], h2[kept]], axis=1).astype("<u8").view(np.uint8)
                 if kept.any():
@@ -289,32 +291,32 @@ def _removals(shards: int):
     return run
 
 
-def _slot(rid: Column) -> Column:
-    return F.pmod(F.xxhash64(rid), F.lit(SLOTS))
+def _slot() -> Column:
+    return F.pmod(F.xxhash64(*_TEXT), F.lit(SLOTS))
 
 
 def _marked(rows: DataFrame, found: DataFrame, has: bool) -> DataFrame:
-    """Rows whose document may be in ``found`` (all that are, and a few more), or the others."""
-    words = found.select(_slot(F.col("rid")).alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("_bits"))
-    joined = rows.withColumn("_s", _slot(F.col("rid"))).withColumn("_word", F.shiftright("_s", 6)).join(F.broadcast(words), "_word", "left")
+    """Rows whose text may be in ``found`` (all that are, and a few more), or the others."""
+    words = found.select(_slot().alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("_bits"))
+    joined = rows.withColumn("_s", _slot()).withColumn("_word", F.shiftright("_s", 6)).join(F.broadcast(words), "_word", "left")
     on = F.expr("coalesce(shiftright(_bits, cast(_s & 63 as int)) & 1, 0) = 1")
     return joined.where(on if has else ~on).select(*rows.columns)
 
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(rid, spans): for each document that loses words, runs [from, to) of word positions.
+    """(rid, tkey, data): for each text that loses words, runs [from, to) of word positions as pairs of unsigned ints.
 
-    ``rid`` is the doc_id, or the largest long for a null one; a span's ``tkey`` is the
-    CRC-32 of the text it is meant for, and its ``data`` pairs of unsigned ints.
+    ``rid`` is the doc_id, or the largest long for a null one, and ``tkey`` the CRC-32 of the text.
     """
     if window < 2 or window % 2:
         raise ValueError("the window has to be an even number of words")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = rows.withColumn("tkey", F.crc32(F.col("text").cast("binary")))
     buckets = int(max(8, scan_bytes(docs) // BUCKET_BYTES))
     shards = max(4, buckets // 4)
     hits = rows.mapInArrow(_probes(buckets, shards, window), _PACKED).groupBy("bucket").applyInArrow(_hits(shards), _PACKED)
     hits = stored(hits.groupBy("bucket").applyInArrow(_gathered(lambda p: p.astype("<u4").tobytes()), _FOUND), "anchor-hits")
-    around = _marked(rows, hits, True).join(hits, "rid").select("rid", "text", "spans")
+    around = _marked(keyed, hits, True).join(hits, _TEXT).select("rid", "text", "data")
     removed = around.mapInArrow(_windows(shards, shards, window), _PACKED).groupBy("bucket").applyInArrow(_removals(shards), _PACKED)
     return stored(removed.groupBy("bucket").applyInArrow(_gathered(lambda p: _cover(p, window)), _FOUND), "repeat-spans")
 
@@ -338,6 +340,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: str
     """(doc_id, n_words, n_removed, kept): the words that stay, joined by one space, or ``kept_sha256`` of them."""
     spans = repeats(docs, window=window, text=text, key=key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("tkey", F.crc32(F.col("text").cast("binary")))
     last = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,15 +348,13 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: str
             for part, texts in groups(batch):
                 out: list[tuple] = []
                 for t, found in zip(texts, part.column(2).to_pylist(), strict=True):
-                    raw = t.as_buffer().to_pybytes()
-                    mine = [s["data"] for s in found if s["tkey"] == zlib.crc32(raw)] if found else []
-                    words, n = kept_words(raw, mine)
+                    words, n = kept_words(t.as_buffer().to_pybytes(), [found] if found else [])
                     line = b" ".join(words)
                     out.append((n, n - len(words), hashlib.sha256(line).hexdigest() if digest else line.decode("utf-8", "replace")))
                 n_words, n_removed, value = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(value, pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
     schema = f"doc_id long, n_words long, n_removed long, {last} string"
-    cut = _marked(rows, spans, True).join(spans, "rid", "left").select("doc_id", "text", "spans")
-    whole = _marked(rows, spans, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    cut = _marked(rows, spans, True).join(spans, _TEXT, "left").select("doc_id", "text", "data")
+    whole = _marked(rows, spans, False).select("doc_id", "text", F.lit(None).cast("binary").alias("data"))
     return cut.mapInArrow(run, schema).union(whole.mapInArrow(run, schema))

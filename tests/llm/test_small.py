@@ -345,3 +345,15 @@ def test_substring_dedup(spark, odd):
     digest = substring_dedup.dedup(df, digest=True).where("doc_id = 8").first()
     assert digest.kept_sha256 == brute.sha("!!! *** 123")
     assert substring_dedup.dedup(empty(spark)).count() == 0
+
+
+def test_substring_dedup_of_many_rows_without_an_id(spark):
+    """Rows that share an id, or have none, are told apart by their texts: none waits for the others' hits."""
+    block = [f"s{i}" for i in range(60)]
+    texts = [(None, " ".join([f"u{k}", *block[k % 7 :], f"v{k}"])) for k in range(300)] + [(5, " ".join([*block, f"w{k}"])) for k in range(40)] + [(None, " ".join(block))] * 50
+    texts += [(2, " ".join(block[3:57]))]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(table).collect())
+    assert got == sorted((d or -1, n, g, k) for d, n, g, k in brute.substring_dedup(texts))
+    spans = substring_dedup.repeats(table).collect()
+    assert len({(r.rid, r.tkey) for r in spans}) == len(spans) > 300  # a row a text, not one with all
