@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +12,9 @@ from pyspark.sql import Window as W
 from ..functions.text import jaccard, parent_level, text_or_empty, word_set
 from ..model import Policy
 from ..sources.tables import stored
+from .components import components
 from .graph import correlation, incident, upsert
+from .ranking import ranked
 
 TRUTHS = ("dissatisfaction", "intelligibility", "plausibility", "fruitfulness")
 TRIGGERS = ("double_loop", "ontology_change_applied")
@@ -173,29 +176,98 @@ def apply(nodes: DataFrame, edges: DataFrame, report: dict, *, consecutive: int
     return nodes, edges, log
 
 
-def sibling_pairs(nodes: DataFrame, least: float = Policy.merge_jaccard) -> DataFrame:
-    """(level, a, b, similarity) of nodes of a level whose words overlap by ``least`` or more, a before b.
+def _siblings(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, level, w) of the nodes with words, and (level, wa, wb) of the word sets that overlap by ``least`` or more, each with itself too.
 
     Prefix filter: a pair that reaches the overlap shares one of the first
     n - ceil(least * n) + 1 words of each, in order of rarity, so levels are not paired with themselves.
     """
     told = F.concat_ws(" ", text_or_empty(F.col("title")), *([text_or_empty(F.col("structure_template.abstract_pattern")), text_or_empty(F.col("structure_template.mathematical_core"))] if "structure_template" in nodes.columns else []))
-    rows = nodes.select("id", F.explode("knowledge_level").alias("level"), word_set(told, 2).alias("w")).withColumn("level", F.trim("level")).where("size(w) > 0").distinct()
+    rows = nodes.select("id", F.explode("knowledge_level").alias("level"), F.array_sort(word_set(told, 2)).alias("w")).withColumn("level", F.trim("level")).where("size(w) > 0").distinct()
     # equal sets of words are one class, so a thousand nodes of one name share one prefix
-    sets = rows.select("level", F.array_sort("w").alias("w")).distinct()
+    sets = rows.select("level", "w").distinct()
     rare = sets.select("level", F.explode("w").alias("x")).groupBy("level", "x").agg(F.count("*").alias("n"))
-    ranked = sets.select("level", "w", F.explode("w").alias("x")).join(rare, ["level", "x"]).groupBy("level", "w").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    ranked_ = sets.select("level", "w", F.explode("w").alias("x")).join(rare, ["level", "x"]).groupBy("level", "w").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
     size = F.size("w")
-    prefix = ranked.select("level", "w", F.explode(F.transform(F.slice("o", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int")), lambda s: s["x"])).alias("x"))
+    prefix = ranked_.select("level", "w", F.explode(F.transform(F.slice("o", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int")), lambda s: s["x"])).alias("x"))
     a, b = prefix.select("level", "x", F.col("w").alias("wa")), prefix.select("level", "x", F.col("w").alias("wb"))
     close = (F.least(F.size("wa"), F.size("wb")) >= F.greatest(F.size("wa"), F.size("wb")) * least - 1e-9) & (jaccard(F.col("wa"), F.col("wb")) >= least)
-    near = a.join(b, ["level", "x"]).where(close).select("level", "wa", "wb").distinct()
-    first = rows.select("level", F.array_sort("w").alias("wa"), F.col("id").alias("a"))
-    second = rows.select("level", F.array_sort("w").alias("wb"), F.col("id").alias("b"))
+    return rows, a.join(b, ["level", "x"]).where(close).select("level", "wa", "wb").distinct()
+
+
+def sibling_pairs(nodes: DataFrame, least: float = Policy.merge_jaccard) -> DataFrame:
+    """(level, a, b, similarity) of all nodes of a level whose words overlap by ``least`` or more, a before b: k (k - 1) / 2 rows for k of one name."""
+    rows, near = _siblings(nodes, least)
+    first = rows.select("level", F.col("w").alias("wa"), F.col("id").alias("a"))
+    second = rows.select("level", F.col("w").alias("wb"), F.col("id").alias("b"))
     pairs = near.join(first, ["level", "wa"]).join(second, ["level", "wb"]).where("a < b")
     return pairs.select("level", "a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 3).alias("similarity"))
 
 
+def sibling_merges(nodes: DataFrame, least: float = Policy.merge_jaccard) -> DataFrame:
+    """(level, a, b, similarity): what ``disjoint_merges`` takes of ``sibling_pairs``, without these pairs.
+
+    Nodes of equal words are a class.  In order of id a node takes the first one near it that waits, or waits
+    itself, which gives the same merges as the pairs in order, since every node prefers its smaller partners in both.  So no class
+    ever has more than one that waits.  A class near no other is paired by places, in all tasks; classes
+    near each other stream through one task, which holds their links and one waiting node of each.
+    A level's turn comes when none of its nodes is still to be decided in an earlier one: all levels at once
+    where no node has two.  Nodes without an id, a level or a word merge with none; of several texts of an id the smallest set of words counts.
+    """
+    rows, near = _siblings(nodes, least)
+    name = lambda w: F.sha2(F.to_json(F.struct("level", F.col(w).alias("w"))), 256)
+    links = stored(near.where("wa <> wb").select("level", name("wa").alias("c"), name("wb").alias("d"), F.round(jaccard(F.col("wa"), F.col("wb")), 3).alias("s")), "sibling-links")
+    members = rows.where("id IS NOT NULL").groupBy("id", "level").agg(F.min("w").alias("w")).select("id", "level", name("w").alias("c"))
+    roots = components(links.select(F.col("c").alias("u"), F.col("d").alias("v"))).select(F.col("u").alias("c"), "root")
+    links = links.join(roots, "c").select("root", F.lit(None).cast("string").alias("id"), "level", "c", "d", "s")
+    left = stored(members.join(roots, "c", "left"), "sibling-left")
+    taken = left.sparkSession.createDataFrame([], "level string, a string, b string, similarity double")
+    while not left.isEmpty():
+        first = left.groupBy("id").agg(F.min("level").alias("_first"))
+        ready = stored(left.join(first, "id").groupBy("level").agg(F.bool_and(F.col("level") == F.col("_first")).alias("_ready")).where("_ready").select("level"), "sibling-ready")
+        now = left.join(ready, "level", "left_semi")
+        linked = links.join(ready, "level", "left_semi").unionByName(now.where("root IS NOT NULL"), allowMissingColumns=True).select("root", "id", "level", "c", "d", "s")
+        replayed = linked.repartition("root").sortWithinPartitions("root", F.asc_nulls_first("id")).mapInArrow(_meet_in_order, "level string, a string, b string, similarity double")
+        won = stored(_paired(now.where("root IS NULL")).unionByName(replayed), "sibling-merges")
+        taken = taken.unionByName(won)
+        gone = won.select(F.explode(F.array("a", "b")).alias("id"))
+        left = stored(left.join(ready, "level", "left_anti").join(gone, "id", "left_anti"), "sibling-left")
+    return taken
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """Merges of (id, level, c) where only nodes of one class are near each other: the first with the second, the third with the fourth, and so on."""
+    placed = ranked(members.select("c", "id", "level"), "c", "id", name="_place")
+    start = placed.groupBy("c").agg(F.min("_place").alias("_start"))
+    two = placed.join(start, "c").groupBy("c", F.floor((F.col("_place") - F.col("_start")) / 2)).agg(F.min("level").alias("level"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+    return two.where("n = 2").select("level", "a", "b", F.lit(1.0).alias("similarity"))
+
+
+def _meet_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, id, level, c, d, s) in order of root and id, a component's links (without an id) first, to its merges."""
+    now = None
+    near: dict[str, dict[str, float]] = {}
+    waits: dict[str, str] = {}  # of each class the one node that waits
+    kinds = [pa.string(), pa.string(), pa.string(), pa.float64()]
+    for batch in batches:
+        out = []
+        for root, node, level, c, d, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if root != now:
+                now, near, waits = root, {}, {}
+            of = near.setdefault(c, {c: 1.0})
+            if node is None:
+                of[d] = s
+                continue
+            few, many = (of, waits) if len(of) < len(waits) else (waits, of)
+            met = min((k for k in few if k in many), key=waits.__getitem__, default=None)
+            if met is None:
+                waits[c] = node
+            else:
+                out.append((level, waits.pop(met), node, of[met]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["level", "a", "b", "similarity"])
+
+
 def disjoint_merges(pairs: DataFrame) -> DataFrame:
     """Pairs taken in order of (level, a, b) unless one of their nodes was taken before.
 
@@ -223,7 +295,7 @@ def collapses(nodes: DataFrame, least: int = Policy.min_nodes_per_level) -> Data
 
 def distil(nodes: DataFrame, edges: DataFrame, policy: Policy = Policy(), dry_run: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, merges, collapses): similar siblings merged and thin levels moved to their parents, or what would be."""
-    merges, thin = stored(disjoint_merges(sibling_pairs(nodes, policy.merge_jaccard)), "merges"), stored(collapses(nodes, policy.min_nodes_per_level), "collapses")
+    merges, thin = stored(sibling_merges(nodes, policy.merge_jaccard), "merges"), stored(collapses(nodes, policy.min_nodes_per_level), "collapses")
     if not dry_run:
         members = nodes.select("id", F.explode("knowledge_level").alias("level")).withColumn("level", F.trim("level"))
         nodes, edges = merge(nodes, edges, merges.select("a", "b"))

@@ -382,6 +382,19 @@ def sibling_merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.sibling_pairs(nodes)
 
 
+@query("""WITH RECURSIVE n AS (SELECT p_partkey::VARCHAR AS id, unnest([p_brand, 'size-' || p_size]) AS level, list_sort(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_]{2,}'))) AS w FROM part
+), j AS (SELECT x.level, x.id AS a, y.id AS b, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS s FROM n x JOIN n y ON x.level = y.level AND x.id < y.id
+), p AS MATERIALIZED (SELECT level, a, b, round(s, 3) AS similarity, row_number() OVER (ORDER BY level, a, b) AS k FROM j WHERE s >= 0.5
+), g AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS level, ''::VARCHAR AS a, ''::VARCHAR AS b, 0.0::DOUBLE AS similarity, false AS won, []::VARCHAR[] AS taken
+UNION ALL SELECT p.k, p.level, p.a, p.b, p.similarity, NOT list_has_any(g.taken, [p.a, p.b]), CASE WHEN list_has_any(g.taken, [p.a, p.b]) THEN g.taken ELSE list_concat(g.taken, [p.a, p.b]) END FROM g JOIN p ON p.k = g.k + 1
+) SELECT level, a, b, similarity FROM g WHERE won""")
+def sibling_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by brand and, those left, by size, each merged with one sibling at most."""
+    p = table(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.array("p_brand", F.concat(F.lit("size-"), F.col("p_size").cast("string"))).alias("knowledge_level"))
+    return ontology.sibling_merges(nodes, 0.5)
+
+
 @query("""WITH n AS (SELECT 'L' || p_size AS level, count(*) AS n FROM part GROUP BY 1)
 SELECT level, n::BIGINT AS n, 'L' || (substr(level, 2)::INT - 1) AS parent_level FROM n WHERE n.n < (SELECT count(*) // 50 FROM part) AND substr(level, 2)::INT > 1 AND 'L' || (substr(level, 2)::INT - 1) IN (SELECT level FROM n)""")
 def level_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,23 @@ def test_sibling_pairs_match_all_pairs(spark):
     assert {(r.level, r.a, r.b) for r in merges} == greedy
 
 
+def test_sibling_merges_are_the_pairs_in_order(spark):
+    draw = random.Random(4)
+    rows = [(f"n{i}", " ".join(draw.sample(["aa", "bb", "cc", "dd", "ee"], draw.randrange(1, 5))), draw.sample(["L1", " L1", "L2", "L3"], draw.randrange(1, 4))) for i in range(120)]
+    rows += [rows[0], rows[7], ("empty", "", ["L1"]), ("nolevel", "aa bb", None), ("nowhere", "aa bb", []), (None, "aa bb", ["L1"]), ("untitled", None, ["L1"])]
+    rows += [(f"same{i}", "xx yy", ["L4"]) for i in range(31)]
+    nodes = spark.createDataFrame(rows, "id string, title string, knowledge_level array<string>")
+    sets = sorted({(k.strip(), i, frozenset(t.split())) for i, t, ks in rows if i and t for k in ks or ()}, key=lambda r: r[:2])
+    seen, want = set(), []
+    for (k, i, v), (m, j, w) in itertools.combinations(sets, 2):  # in order of level, a, b
+        if k == m and len(v & w) / len(v | w) >= 0.5 and not {i, j} & seen:
+            seen |= {i, j}
+            want.append((k, i, j, round(len(v & w) / len(v | w), 3)))
+    got = ontology.sibling_merges(nodes, 0.5).orderBy("level", "a").collect()
+    assert [tuple(r) for r in got] == want and sum(k == "L4" for k, *_ in want) == 15
+    assert ontology.sibling_merges(nodes.limit(0), 0.5).count() == 0
+
+
 def test_distil(spark, small):
     nodes, edges = small
     _, e, merges, thin = ontology.distil(nodes, edges, dry_run=False)
