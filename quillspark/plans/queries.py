@@ -14,7 +14,9 @@ from ..functions import text as T
 from ..operators import dedup, graph, ontology, render, reports, scoring, screening, seeds
 from ..sources import notes, readers
 from ..sources.tables import shared_dir
+from ..sources.versions import Versions
 from ..streaming import events as stream
+from ..streaming.progress import Listener, Progress
 from ..streaming.results import Results
 from .fixtures import BACKGROUND, INTENT, NOW, QUERY, dealt, papers, table, trade_graph
 from .fixtures import seeds as corpus_seeds
@@ -732,3 +734,57 @@ def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}"
     render.write_files(render.plain_notes(papers(spark, sf_dir)), path)
     return notes.read(spark, path).select("name", F.sha2("text", 256).alias("text_sha256"))
+
+
+_ORDERED = """v AS (SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderdate < DATE '1997-01-01' THEN 0 WHEN o_orderdate < DATE '1999-01-01' THEN 1 ELSE 2 END, o_orderkey) AS seq FROM orders)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> Versions:
+    """Customers by their orders: each order is a new version of its customer, in three parts by date."""
+    found = Versions(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", "id string, order long")
+    day = F.col("o_orderdate").cast("date")
+    part = F.when(day < F.lit("1997-01-01").cast("date"), 0).when(day < F.lit("1999-01-01").cast("date"), 1).otherwise(2)
+    rows = table(spark, sf_dir, "orders").select(part.alias("part"), F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderkey").cast("long").alias("order"))
+    for i in range(3):
+        found.append(rows.where(F.col("part") == i).select("id", "order"), "order")
+    return found
+
+
+@query(f"WITH {_ORDERED} SELECT 'c-' || o_custkey AS id, o_orderkey::BIGINT AS \"order\", seq::BIGINT AS seq FROM v ORDER BY seq DESC LIMIT 50")
+def history_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 50 changes, from the last part alone."""
+    return _versions(spark, sf_dir).newest(50)
+
+
+@query(f"WITH {_ORDERED} SELECT 'c-' || o_custkey AS id, max_by(o_orderkey, seq)::BIGINT AS \"order\", max(seq)::BIGINT AS seq FROM v GROUP BY o_custkey ORDER BY seq DESC LIMIT 20")
+def nodes_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nodes changed last, as they are now."""
+    return _versions(spark, sf_dir).newest_current(20)
+
+
+@query(f"WITH {_ORDERED} SELECT 'c-' || o_custkey AS id, max_by(o_orderkey, seq)::BIGINT AS \"order\", max(seq)::BIGINT AS seq FROM v GROUP BY o_custkey")
+def nodes_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes as they are now, after their versions were made one base."""
+    found = _versions(spark, sf_dir)
+    found.compact()
+    return found.current()
+
+
+@query("""WITH k AS (SELECT 'user-' || user_id % 10 AS p, CASE event_type WHEN 'view' THEN 'phase_start' WHEN 'purchase' THEN 'phase_end' WHEN 'click' THEN 'item_scored' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'degradation' END AS e, event_id % 9 AS n FROM events), g AS (
+  SELECT p, count(*) FILTER (WHERE e = 'phase_start')::BIGINT AS started, count(*) FILTER (WHERE e = 'phase_end')::BIGINT AS ended, count(*) FILTER (WHERE e = 'item_scored')::BIGINT AS scored, count(*) FILTER (WHERE e = 'error')::BIGINT AS errors, count(*) FILTER (WHERE e = 'degradation')::BIGINT AS degradations, sum(n)::BIGINT AS tokens FROM k GROUP BY p)
+SELECT *, CASE WHEN ended > 0 THEN CASE WHEN errors > 0 THEN 'done_with_errors' ELSE 'done' END WHEN started > 0 THEN 'running' ELSE 'pending' END AS status FROM g""")
+def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a stream of events, gathered by the pass that writes them."""
+    out = f"{shared_dir(spark)}/counted-{uuid.uuid4().hex}"
+    kind = F.create_map(*[F.lit(x) for x in ("view", "phase_start", "purchase", "phase_end", "click", "item_scored", "error", "error", "signup", "degradation")])
+    e = table(spark, sf_dir, "events")
+    stream.append(e.select(F.col("ts").alias("t"), kind[F.col("event_type")].alias("e"), F.concat(F.lit("user-"), (F.col("user_id") % 10).cast("string")).alias("p"), F.create_map(F.lit("tokens_in"), (F.col("event_id") % 9).cast("string")).alias("rest")), f"{out}/log")
+    progress = Progress(tuple(f"user-{i}" for i in range(10)), name=f"counted-{uuid.uuid4().hex}")
+    listener = Listener(progress)
+    spark.streams.addListener(listener)
+    try:
+        live = progress.watched(stream.read(spark, f"{out}/log", stream=True, files=2))
+        listener.wait(stream.to_table(live, f"{out}/rows", f"{out}/state"))
+    finally:
+        spark.streams.removeListener(listener)
+    return progress.table(spark)
