@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from ..functions import replies
 from ..functions import text as T
 from ..operators import dedup, graph, ontology, render, reports, scoring, screening, seeds
-from ..sources import notes, readers
+from ..sources import landed, notes, readers
 from ..sources.tables import shared_dir
 from ..sources.versions import Versions
 from ..streaming import events as stream
@@ -788,3 +788,13 @@ def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.streams.removeListener(listener)
     return progress.table(spark)
+
+
+@query(f"WITH {_PAPERS} SELECT paper_id::VARCHAR AS paper_id, year, source, md5(title) AS title_md5, md5(abstract) AS abstract_md5 FROM papers WHERE year BETWEEN 2018 AND 2024 AND source IN ('src0', 'src1', 'src2') AND contains(lower(title || chr(10) || abstract), '{QUERY.split()[0]}')")
+def landed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed papers of some years and sources with a word, read in ranges of the files."""
+    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    readers.write_search_file(papers(spark, sf_dir).withColumn("paper_id", F.col("paper_id").cast("string")), path, QUERY)
+    found = landed.load(spark, path, query=QUERY.split()[0], split_bytes=1 << 24)
+    kept = found.where((F.col("year") >= 2018) & (F.col("year") <= 2024) & F.col("source").isin("src0", "src1", "src2"))
+    return kept.select("paper_id", "year", "source", F.md5("title").alias("title_md5"), F.md5("abstract").alias("abstract_md5"))

@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{posixpath.abspath(path)}")
 
 
@@ -41,7 +41,7 @@ class NotesWriter(DataSourceWriter):
         self.staging = f"{self.path}.staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        store, root = _opened(self.staging)
+        store, root = opened(self.staging)
         folders, names = set(), set()
         for row in iterator:
             name = posixpath.normpath(row["name"] or "")
@@ -61,8 +61,8 @@ class NotesWriter(DataSourceWriter):
         return Written(len(names))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, staged = _opened(self.staging)
-        _, target = _opened(self.path)
+        store, staged = opened(self.staging)
+        _, target = opened(self.path)
         store.create_dir(staged, recursive=True)
         old = f"{staged}-before"
         there = store.get_file_info(target).type != fs.FileType.NotFound
@@ -76,7 +76,7 @@ class NotesWriter(DataSourceWriter):
             store.delete_dir(old)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, staged = _opened(self.staging)
+        store, staged = opened(self.staging)
         if store.get_file_info(staged).type != fs.FileType.NotFound:
             store.delete_dir(staged)
 

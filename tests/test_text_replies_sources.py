@@ -1,5 +1,6 @@
 """Column functions, readers, adapters, dedup and streams."""
 
+import gzip
 import json
 from difflib import SequenceMatcher
 
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from quillspark.functions import replies
 from quillspark.functions import text as T
 from quillspark.operators import adapters, dedup
+from quillspark.sources import landed as landing
 from quillspark.sources import readers, search
-from quillspark.sources.landed import LandedPapers
+from quillspark.sources.landed import LandedPapers, LandedReader
 from quillspark.streaming import events
 
 
@@ -86,6 +88,37 @@ def test_data_source(spark, landed):
     assert spark.read.format("landed_papers").option("path", landed).option("max_results", 3).load().count() == 3
 
 
+def test_data_source_by_ranges(spark, tmp_path):
+    rows = [{"paper_id": str(i), "title": f"é {'x' * (i % 7)}", "year": 2000 + i % 30, "source": f"s{i % 3}", "abstract": "Robust wheels" if i % 2 else None} for i in range(60)]
+    rows[5] |= {"year": "2005", "authors": "none", "venue": 3, "citations": 1e300}
+    rows[6] |= {"year": "soon", "authors": ["a", 1]}
+    text = [json.dumps(r, ensure_ascii=False) for r in rows]
+    (tmp_path / "in" / "_hidden").mkdir(parents=True)
+    (tmp_path / "in" / "_hidden" / "x.json").write_text(text[0])
+    (tmp_path / "in" / "a.json").write_text("\n".join(text[:25]) + "\nno json\n\n[1]\n")
+    (tmp_path / "in" / "b.json").write_text("\n".join(text[25:50]))
+    (tmp_path / "in" / "c.json").write_text("")
+    with gzip.open(tmp_path / "in" / "d.json.gz", "wt") as f:
+        f.write("\n".join(text[50:]))
+    of = lambda **o: landing.load(spark, f"file://{tmp_path}/in", **o)
+    ids = lambda df: sorted(int(r.paper_id) for r in df.select("paper_id").collect())
+    for size in (1, 7, 100, 101, 1000, 1 << 20):
+        reader = LandedReader({"path": str(tmp_path / "in"), "split_bytes": str(size)})
+        assert sorted(int(r[0]) for part in reader.partitions() for r in reader.read(part)) == list(range(60))
+    assert ids(of(split_bytes=500)) == list(range(60))
+    assert of(split_bytes=1000).rdd.getNumPartitions() > 3 and of().rdd.getNumPartitions() == 1
+    odd = {r.paper_id: r for r in of().where("paper_id IN ('5', '6')").collect()}
+    assert (odd["5"].year, odd["5"].authors, odd["5"].venue, odd["5"].citations) == (2005, [], "3", 0) and (odd["6"].year, odd["6"].authors) == (0, ["a", "1"])
+    assert ids(of(query="ROBUST wheels", year_min=2010, year_max=2012, sources="s0, s1")) == [i for i in range(60) if i % 2 and 10 <= i % 30 <= 12 and i % 3 < 2]
+    assert ids(of(max_results=4, split_bytes=50)) == [0, 1, 2, 3]
+    few = of(split_bytes=500).where("source IN ('s1', 's2') AND source = 's1' AND year > 2003 AND title <> ''")
+    assert ids(few) == [i for i in range(60) if i % 3 == 1 and i % 30 > 3 and i != 6]
+    conditions = [x for x in few._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter (" in x]
+    assert conditions and not any("source" in x or "year" in x for x in conditions)  # the reader has them
+    (tmp_path / "none").mkdir()
+    assert landing.load(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_connectors(spark, tmp_path):
     (tmp_path / "w.json").write_text(json.dumps({"results": [{"标题": "T", "作者": "A; B", "日期": "2020-01-02", "id": "arXiv:2101.00001v2", "cited_by": "7"}, {"name": " ", "id": "x"}]}))
     rows = readers.unified(readers.records(spark, str(tmp_path / "w.json")), "cn").collect()
