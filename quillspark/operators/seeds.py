@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +19,11 @@ def label(level: Column, category: Column) -> Column:
     return F.concat(F.lit("L"), level.cast("string"), F.lit("-"), F.coalesce(category, F.lit("general")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: a column that a lambda names would be put in its place, and worked out at each use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _best(papers: DataFrame, seeds: DataFrame, top: int = TOP, least: float = LEAST, title_only: bool = False) -> DataFrame:
     """(paper_id, best) with an array of each paper's best seeds; ties go by ``seed_pos``.
 
@@ -30,34 +37,31 @@ def _best(papers: DataFrame, seeds: DataFrame, top: int = TOP, least: float = LE
     rows = papers.select("paper_id", tokens.alias("_w"), title.alias("_title"), F.lower(F.concat(T.text_or_empty(F.col("title")), F.lit(" "), abstract)).alias("_text"))
     phrases = F.transform(F.concat(F.array(T.text_or_empty(F.col("name"))), F.coalesce(F.col("aliases"), F.array().cast("array<string>"))), F.lower)
     seed = F.struct("seed_pos", "node_id", "level", "category", F.array_distinct("keywords").alias("k"), phrases.alias("p"))
-    packed = seeds.where(F.size("keywords") > 0).agg(F.array_sort(F.collect_list(seed)).alias("_seeds"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("_all"))
-
-    def scored(s: Column) -> Column:
-        # a paper's words are met with all keywords once, so that each seed looks through a few only
-        both = F.size(F.array_intersect(s["k"], F.col("_known")))
-        overlap = both / (F.size("_w") + F.size(s["k"]) - both)
+    all_phrases = F.filter(F.array_distinct(F.flatten(F.collect_list(phrases))), lambda p: F.length(p) > 3)
+    packed = seeds.where(F.size("keywords") > 0).agg(F.array_sort(F.collect_list(seed)).alias("_seeds"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("_all"), all_phrases.alias("_phrases"))
 
-        def phrase(total: Column, p: Column) -> Column:
-            n = F.length(p)
-            seen = F.contains(F.col("_text"), p)
-            in_text = F.when((n > 5) & seen, 0.15).when((n > 3) & seen, 0.08).otherwise(0.0)
-            return total + in_text
+    def raised(s: Column, met: Column) -> Column:
+        # a paper's words and text are met with all keywords and phrases once, so that each seed looks through a few only
+        overlap = _let(F.size(F.array_intersect(s["k"], met["known"])), lambda both: both / (met["n"] + F.size(s["k"]) - both))
+        in_text = lambda p: F.when(F.array_contains(met["seen"], p), F.when(F.length(p) > 5, 0.15).otherwise(0.08)).otherwise(0.0)
+        in_title = lambda p: F.when((F.length(p) > 4) & F.array_contains(met["titled"], p), 0.20).otherwise(0.0)
+        return overlap + F.aggregate(s["p"], F.lit(0.0), lambda total, p: total + in_text(p)) + F.aggregate(s["p"], F.lit(0.0), lambda total, p: total + in_title(p))
 
-        def in_title(total: Column, p: Column) -> Column:
-            return total + F.when((F.length(p) > 4) & F.contains(F.col("_title"), p), 0.20).otherwise(0.0)
-
-        raised = overlap + F.aggregate(s["p"], F.lit(0.0), phrase) + F.aggregate(s["p"], F.lit(0.0), in_title)
-        score = F.least(F.lit(1.0), raised)
+    def scored(s: Column, score: Column) -> Column:
         return F.struct((-score).alias("order"), s["seed_pos"].alias("seed_pos"), s["node_id"].alias("node_id"), s["level"].alias("level"), s["category"].alias("category"), score.alias("score"))
 
-    found = rows.join(F.broadcast(packed)).withColumn("_known", F.array_intersect("_w", "_all"))
-    best = F.slice(F.array_sort(F.filter(F.transform("_seeds", scored), lambda x: (x["score"] >= least) & (F.size("_w") > 0))), 1, top)
-    return found.select("paper_id", best.alias("best"))
+    def ranked(met: Column) -> Column:
+        all_ = F.transform("_seeds", lambda s: _let(F.least(F.lit(1.0), raised(s, met)), lambda score: scored(s, score)))
+        return F.slice(F.array_sort(F.filter(all_, lambda x: (x["score"] >= least) & (met["n"] > 0))), 1, top)
+
+    seen = lambda text: F.filter("_phrases", lambda p: F.contains(text, p))
+    met = F.struct(F.array_intersect("_w", "_all").alias("known"), F.size("_w").alias("n"), seen(F.col("_text")).alias("seen"), seen(F.col("_title")).alias("titled"))
+    return rows.join(F.broadcast(packed)).select("paper_id", _let(met, ranked).alias("best"))
 
 
 def match(papers: DataFrame, seeds: DataFrame, **options) -> DataFrame:
     """(paper_id, node_id, level, category, score, rank) of each paper's best seeds."""
-    found = _best(papers, seeds, **options).select("paper_id", F.posexplode("best").alias("_i", "_s"))
+    found = _best(papers, seeds, **options).select("paper_id", F.posexplode_outer("best").alias("_i", "_s")).where("_i IS NOT NULL")  # an inner one would have the array worked out once more, for its size
     return found.select("paper_id", "_s.node_id", "_s.level", "_s.category", "_s.score", (F.col("_i") + 1).alias("rank"))
 
 
@@ -75,7 +79,7 @@ def match_rows(papers: DataFrame, seeds: DataFrame, **options) -> DataFrame:
 
 def edges(matches: DataFrame) -> DataFrame:
     """An edge from paper to seed for each score of ``match_rows``."""
-    rows = matches.select("paper_id", F.explode("match_scores").alias("seed_id", "score"))
+    rows = matches.select("paper_id", F.explode_outer("match_scores").alias("seed_id", "score")).where("seed_id IS NOT NULL")
     return rows.select(T.edge_id(F.col("paper_id").cast("string"), F.col("seed_id")).alias("id"), F.col("paper_id").cast("string").alias("source_id"), F.col("seed_id").alias("target_id"), F.col("score").alias("base_score"))
 
 
@@ -158,19 +162,26 @@ def retrieve(new: DataFrame, known: DataFrame, top: int = 15, common: int = COMM
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def template(c: Column) -> Column:
+    """What ``template_similarity`` compares of a structure template, taken from its texts once: kept in the row, as each pair would cut it anew."""
+    chain = F.array_distinct(F.coalesce(c["signal_chain"], F.array().cast("array<string>")))
+    return F.struct(F.coalesce(c["control_architecture"], F.lit("")).alias("architecture"), T.word_set(c["abstract_pattern"]).alias("pattern"), T.word_set(c["mathematical_core"]).alias("core"), chain.alias("chain"))
+
+
 def template_similarity(a: Column, b: Column) -> Column:
     """Weighted overlap of two structure templates; only parts that both have count."""
+    return parts_similarity(template(a), template(b))
 
-    def both(x: Column, y: Column) -> Column:
-        return (F.size(x) > 0) & (F.size(y) > 0)
 
+def parts_similarity(a: Column, b: Column) -> Column:
+    """``template_similarity`` of two results of ``template``."""
     total, weight = F.lit(0.0), F.lit(0.0)
-    x, y = a["control_architecture"], b["control_architecture"]
-    have = (F.coalesce(x, F.lit("")) != "") & (F.coalesce(y, F.lit("")) != "")
+    x, y = a["architecture"], b["architecture"]
+    have = (x != "") & (y != "")
     total, weight = total + F.when(have & (x == y), 0.35).otherwise(0.0), weight + F.when(have, 0.35).otherwise(0.0)
-    parts = [(0.25, *(T.word_set(c["abstract_pattern"]) for c in (a, b))), (0.20, *(T.word_set(c["mathematical_core"]) for c in (a, b)))]
-    parts.append((0.20, *(F.array_distinct(F.coalesce(c["signal_chain"], F.array().cast("array<string>"))) for c in (a, b))))
-    for w, p, q in parts:
-        total = total + F.when(both(p, q), w * T.jaccard(p, q)).otherwise(0.0)
-        weight = weight + F.when(both(p, q), w).otherwise(0.0)
-    return F.when(weight > 0, F.least(F.lit(1.0), total / weight)).otherwise(0.0)
+    for w, part in ((0.25, "pattern"), (0.20, "core"), (0.20, "chain")):
+        p, q = a[part], b[part]
+        both = (F.size(p) > 0) & (F.size(q) > 0)
+        total = total + F.when(both, w * T.jaccard(p, q)).otherwise(0.0)
+        weight = weight + F.when(both, w).otherwise(0.0)
+    return F.when(weight > 0, F.least(F.lit(1.0), total / weight)).otherwise(F.lit(0.0))
