@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from .. import model
 from ..functions import text as T
+from .tables import stored
 
 HEADER, FOOTER = "search_metadata", "sources_status"
 #: Names under which services give a field, first that is not blank (fixed values).
@@ -109,6 +110,26 @@ WORK = (
 )
 
 
+def inverted_index(rows: DataFrame, id: str, words: str) -> DataFrame:
+    """(id, i) of rows (id, words): a map from each word to its places, in order.
+
+    A row's words are sorted and cut into runs inside the row, so no word is shuffled; only rows that share an id
+    with another are gathered, word by word.
+    """
+    ids = stored(rows.groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1").select(id), "shared-ids")  # of known size: rows are not shuffled to meet a few
+    shared = rows.join(ids, rows[id].eqNullSafe(ids[id]), "left_semi")
+    own = rows.join(ids, rows[id].eqNullSafe(ids[id]), "left_anti")
+    ordered = own.select(id, F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("word"), p.alias("p")))).alias("_s"))
+    started = ordered.withColumn("_at", F.filter(F.transform("_s", lambda e, k: F.when((k == 0) | (e["word"] != F.get("_s", k - 1)["word"]), k)), lambda k: k.isNotNull()))
+    run = lambda k, j: F.slice("_s", k + 1, F.coalesce(F.get("_at", j + 1), F.size("_s")) - k)
+    entries = F.transform("_at", lambda k, j: F.struct(F.get("_s", k)["word"].alias("word"), F.transform(run(k, j), lambda e: e["p"]).alias("ps")))
+    whole = started.select(id, F.map_from_entries(entries).alias("i"))
+    if ids.isEmpty():
+        return whole
+    pairs = shared.select(id, F.posexplode(words).alias("p", "word")).groupBy(id, "word").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return whole.unionByName(pairs.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("i")))
+
+
 def rebuilt_abstract(index: Column) -> Column:
     """Words of an inverted index in order of their first position, each once."""
     return F.array_join(F.transform(F.array_sort(F.transform(F.map_entries(index), lambda e: F.struct(e["value"][0].alias("p"), e["key"].alias("w")))), lambda x: x["w"]), " ")

@@ -1,6 +1,18 @@
 """What is worked out inside a row: no word is shuffled, nothing is worked out twice."""
 
+from pyspark.sql import functions as F
+
 from quillspark.operators import seeds
+from quillspark.sources import readers
+
+
+def test_inverted_index_shuffles_no_word(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "é"]), (2, ["x"]), (3, ["k"]), (3, ["k", "l"]), (None, ["n"]), (None, ["m", "n"])], "id long, w array<string>")
+    index = readers.inverted_index(rows, "id", "w")
+    got = {r.id: r.i for r in index.collect()}
+    assert got == {1: {"b": [0, 2], "a": [1], "é": [3]}, 2: {"x": [0]}, 3: {"k": [0, 0], "l": [1]}, None: {"n": [0, 1], "m": [0]}}
+    text = {r.id: r.t for r in index.select("id", readers.rebuilt_abstract(F.col("i")).alias("t")).collect()}
+    assert text[1] == "b a é" and text[2] == "x"
 
 
 def test_seeds_are_scored_once_a_paper(spark):
