@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import seeds
+from quillspark.plans import queries
 from quillspark.sources import readers
 
 
@@ -15,6 +16,11 @@ def test_inverted_index_shuffles_no_word(spark):
     assert text[1] == "b a é" and text[2] == "x"
 
 
+def test_words_of_a_template_are_cut_once(spark, sf_dir):
+    plan = queries.QUERIES["template_similarity"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # the join has sets of words, not texts
+
+
 def test_seeds_are_scored_once_a_paper(spark):
     s = spark.createDataFrame([("method-1", "control", 1, "m", ["noise"], ["control", "noise", "duct"], 1)], "node_id string, name string, level int, category string, aliases array<string>, keywords array<string>, seed_pos int")
     p = spark.createDataFrame([(1, "Noise control", "of a duct"), (2, None, None), (3, "", "nothing")], "paper_id long, title string, abstract string")
