@@ -18,6 +18,8 @@ from .ranking import ranked
 CONDITIONS = ("temporal_precedence", "mechanistic_chain", "intervention_test", "boundary_conditions")
 STRONG = 0.3
 PAIR_FLOOR = 0.2
+#: Papers of a block of ``pairs`` at least, and blocks at most.
+WIDTH, BLOCKS = 256, 64
 
 
 def empty(spark, schema: str) -> DataFrame:
@@ -91,13 +93,22 @@ def pairs(scored: DataFrame, *, id: str = "paper_id", score: str = "dry_score",
     if most is not None:
         best = best.limit(most)
     best = ranked(best.select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), F.col(pos).alias("_pos")), F.desc("s"), "_pos", name="rn").drop("_pos")
-    # each paper is sent to the blocks of those before it: an equi-join in place of a product
-    width = 256
-    block = lambda c: F.floor((F.col(c) - 1) / width)
-    last = best.agg(F.floor((F.max("rn") - 1) / width).alias("_last"))
-    a = best.select(F.col("i").alias("source_id"), F.col("rn").alias("a_rn"), block("rn").alias("blk"))
-    b = best.join(F.broadcast(last)).select(F.col("i").alias("target_id"), F.col("s").alias("base_score"), F.col("rn").alias("b_rn"), F.explode(F.sequence(F.lit(0).cast("long"), block("rn"))).alias("blk"))
-    return a.join(b, "blk").where("a_rn < b_rn").select("source_id", "target_id", "base_score", F.col("a_rn").cast("long").alias("rank"))
+    a, b = tiles(best)
+    # sent to the tasks, as a broadcast would hold all copies of a side
+    return a.join(b.hint("merge"), ["x", "y"]).where("a_rn < b_rn").select("source_id", "target_id", "base_score", F.col("a_rn").cast("long").alias("rank"))
+
+
+def tiles(best: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers (i, s) by place ``rn``, as first and as second of a pair, in the tiles (x, y) of their blocks.
+
+    That is an equi-join in place of a product; a paper is in at most ``BLOCKS`` tiles, however many papers there are.
+    """
+    last = best.agg(F.max("rn").alias("_last")).withColumn("_width", F.greatest(F.lit(WIDTH), F.ceil(F.col("_last") / BLOCKS)))
+    block = lambda c: F.floor((F.col(c) - 1) / F.col("_width"))
+    placed = best.join(F.broadcast(last))
+    a = placed.select(F.col("i").alias("source_id"), F.col("rn").alias("a_rn"), block("rn").alias("x"), F.explode(F.sequence(block("rn"), block("_last"))).alias("y"))
+    b = placed.select(F.col("i").alias("target_id"), F.col("s").alias("base_score"), F.col("rn").alias("b_rn"), F.explode(F.sequence(F.lit(0).cast("long"), block("rn"))).alias("x"), block("rn").alias("y"))
+    return a, b
 
 
 def build(papers: DataFrame, dry: DataFrame, reviewed: DataFrame | None = None, matches: DataFrame | None = None, seeds: DataFrame | None = None, *, most_pairs: int | None = None, paired: bool = True) -> tuple[DataFrame, DataFrame]:
