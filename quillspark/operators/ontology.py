@@ -18,6 +18,8 @@ from .ranking import ranked
 
 TRUTHS = ("dissatisfaction", "intelligibility", "plausibility", "fruitfulness")
 TRIGGERS = ("double_loop", "ontology_change_applied")
+#: Nodes of one class that a task pairs with another node at a time.
+SLICE = 1024
 
 
 def impact(changes: Column, nodes: Column) -> Column:
@@ -196,12 +198,18 @@ def _siblings(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 
 def sibling_pairs(nodes: DataFrame, least: float = Policy.merge_jaccard) -> DataFrame:
-    """(level, a, b, similarity) of all nodes of a level whose words overlap by ``least`` or more, a before b: k (k - 1) / 2 rows for k of one name."""
+    """(level, a, b, similarity) of all nodes of a level whose words overlap by ``least`` or more, a before b: k (k - 1) / 2 rows for k of one name.
+
+    Words are compared once a pair of classes, not of nodes; a class is dealt to slices, so that no task has all of it.
+    """
     rows, near = _siblings(nodes, least)
-    first = rows.select("level", F.col("w").alias("wa"), F.col("id").alias("a"))
-    second = rows.select("level", F.col("w").alias("wb"), F.col("id").alias("b"))
-    pairs = near.join(first, ["level", "wa"]).join(second, ["level", "wb"]).where("a < b")
-    return pairs.select("level", "a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 3).alias("similarity"))
+    members = rows.where("id IS NOT NULL").select("level", F.xxhash64("id").alias("h"), "id", "w")
+    slices = members.groupBy("level", "w").agg(F.ceil(F.count("*") / SLICE).alias("n"))
+    near = near.withColumn("similarity", F.round(jaccard(F.col("wa"), F.col("wb")), 3)).join(slices.withColumnRenamed("w", "wb"), ["level", "wb"])
+    near = stored(near.select("level", "wa", "wb", "n", "similarity", F.monotonically_increasing_id().alias("c")), "sibling-classes")
+    first = near.join(members.select("level", F.col("w").alias("wa"), F.col("id").alias("a")), ["level", "wa"]).select("level", "a", "similarity", "c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slice"))
+    second = near.join(members.select("level", F.col("w").alias("wb"), F.col("id").alias("b"), "h"), ["level", "wb"]).select("c", (F.pmod("h", "n") + 1).alias("slice"), "b")
+    return first.join(second.hint("merge"), ["c", "slice"]).where("a < b").select("level", "a", "b", "similarity")
 
 
 def sibling_merges(nodes: DataFrame, least: float = Policy.merge_jaccard) -> DataFrame:

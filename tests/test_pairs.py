@@ -1,11 +1,12 @@
-"""Pairs of papers: all of them, with no more sent than that takes."""
+"""Pairs of papers and of siblings: all of them, with no more sent or compared than that takes."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import graph
+from quillspark.operators import graph, ontology
 
 
 @pytest.mark.parametrize(("width", "blocks"), [(1, 4), (7, 3), (256, 64)])
@@ -18,3 +19,15 @@ def test_a_paper_is_in_few_tiles(spark, monkeypatch, width, blocks):
         assert side.count() <= blocks * k
     got = graph.pairs(spark.range(k).selectExpr("id AS paper_id", "1 - id / 100 AS dry_score", "id AS pos")).collect()
     assert sorted((int(r.source_id), int(r.target_id)) for r in got) == list(itertools.combinations(range(k), 2))
+
+
+@pytest.mark.parametrize("size", [1, 3, 1024])
+def test_words_are_compared_once_a_class(spark, monkeypatch, size):
+    monkeypatch.setattr(ontology, "SLICE", size, raising=False)
+    draw = random.Random(9)
+    rows = [(f"n{i}", draw.choice(["aa bb cc", "aa bb", "dd ee", "aa bb cc ff"]), ["L1"]) for i in range(60)] + [(None, "aa bb", ["L1"])]
+    found = ontology.sibling_pairs(spark.createDataFrame(rows, "id string, title string, knowledge_level array<string>"), 0.6)
+    assert "array_union" not in found._jdf.queryExecution().optimizedPlan().toString()  # the join of nodes has similarities, not words
+    sets = sorted((i, set(t.split())) for i, t, _ in rows if i)
+    want = [("L1", i, j, round(len(s & t) / len(s | t), 3)) for (i, s), (j, t) in itertools.combinations(sets, 2) if len(s & t) / len(s | t) >= 0.6]
+    assert sorted(map(tuple, found.collect())) == want
