@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,63 +106,71 @@ def level_proximity(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
-#: Papers that a title word may have to be looked up paper by paper; commoner words are looked up by classes.
-COMMON = 4096
+#: Known papers of a tile at least, and tiles of a new paper at most, as long as no tile has over ``WIDEST``; new papers of a tile.
+COMMON, TILES, WIDEST, ASKED = 4096, 64, 1 << 16, 1 << 15
 
 
 def retrieve(new: DataFrame, known: DataFrame, top: int = 15, common: int = COMMON) -> DataFrame:
     """(new_id, paper_id, relevance, rank): the known papers most like each new one.
 
     Half of the relevance is the Jaccard overlap of words over three letters of the title (and keywords), half the
-    proximity of levels.  Nothing is compared with all papers: an inverted index leads from a paper's words to those that share one, and
-
-    * papers without a word in common differ by their levels only, so for each set of levels the best ``top`` by level and id do;
-    * papers that share a word of at most ``common`` papers are met one by one;
-    * papers that share commoner words only are alike if they have the same ones, the same levels and as many words
-      in all, so of each such class the ``top`` smallest ids do, and a new paper whose common words cannot lift any to its
-      ``top``-th relevance so far does without.
+    proximity of levels.  Blocks of new and of known papers (of ``common`` or more) meet in tiles, each one task's: it counts the words
+    that a new paper shares with all known ones of the tile by the tile's own inverted index, and gives the ``top`` of them.
+    So pairs are never rows: what is shuffled is the papers' words and ``top`` rows a new paper and tile,
+    and a task holds one tile whatever the words' frequencies are.
     """
     keywords = lambda df: F.transform(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), lambda k: F.lower(F.trim(k))) if "keywords" in df.columns else F.array().cast("array<string>")
     levels = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col("knowledge_level"), F.array().cast("array<string>")), T.level_number), lambda x: x.isNotNull())))
-    a = stored(new.where("paper_id IS NOT NULL").select(F.col("paper_id").alias("new_id"), F.array_distinct(F.concat(T.long_words(F.col("title")), keywords(new))).alias("a_w"), levels.alias("a_l")), "retrieve-new")
-    b = stored(known.where("paper_id IS NOT NULL").select("paper_id", T.long_words(F.col("title")).alias("b_w"), levels.alias("b_l")), "retrieve-known")
-    near = lambda x, y: F.coalesce(F.array_max(F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: 1.0 - 0.15 * F.abs(i - j))))), F.lit(0.0))
-    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("paper_id"))
-
-    # levels alone: six numbers make 64 sets at most, of top + 1 ids each
-    heads = b.withColumn("_n", first("b_l")).where(F.col("_n") <= top + 1).select("b_l", "paper_id")
-    met = a.select("a_l").distinct().join(F.broadcast(heads)).withColumn("near", near(F.col("a_l"), F.col("b_l")))
-    met = met.withColumn("_n", F.row_number().over(W.partitionBy("a_l").orderBy(F.desc("near"), "paper_id"))).where(F.col("_n") <= top + 1)
-    level_only = a.join(met.groupBy("a_l").agg(F.collect_list("paper_id").alias("ids"), F.max("near").alias("most")), "a_l")
-    found = level_only.select("new_id", F.explode("ids").alias("paper_id"))
-
-    postings = b.select("paper_id", F.explode("b_w").alias("w"))
-    frequent = stored(postings.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > common).select("w"), "retrieve-common")
-    asked = a.select("new_id", F.explode("a_w").alias("w"))
-    rare = asked.join(postings.join(frequent, "w", "left_anti"), "w").select("new_id", "paper_id")
-    both = F.size(F.array_intersect("a_w", "b_w"))
-    relevance = lambda shared, of: 0.5 * (shared / F.greatest(F.size("a_w") + of - shared, F.lit(1))) + 0.5 * near(F.col("a_l"), F.col("b_l"))
-    pairs = found.union(rare).where("new_id <> paper_id").distinct().join(a, "new_id").join(b, "paper_id").select("new_id", "paper_id", relevance(both, F.size("b_w")).alias("relevance"))
+    a = stored(new.where("paper_id IS NOT NULL").select(F.col("paper_id").alias("id"), F.array_distinct(F.concat(T.long_words(F.col("title")), keywords(new))).alias("w"), levels.alias("l")), "retrieve-new")
+    b = stored(known.where("paper_id IS NOT NULL").select(F.col("paper_id").alias("id"), T.long_words(F.col("title")).alias("w"), levels.alias("l")), "retrieve-known")
+    n = b.count()
+    x, y = max(1, -(-a.count() // ASKED)), max(1, -(-n // min(WIDEST, max(common, -(-n // TILES)))))
+    spread = lambda of, to: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(to)
+    block = lambda of, to: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(to)
+    asked = a.select(block(x, "x"), spread(y, "y"), "*").groupBy("x", "y")
+    held = b.select(spread(x, "x"), block(y, "y"), "*").groupBy("x", "y")
+    kind = a.schema["id"].dataType.simpleString()
+    best = asked.cogroup(held).applyInArrow(lambda new, known: _nearest(new, known, top), f"new_id {kind}, paper_id {b.schema['id'].dataType.simpleString()}, relevance double")
     order = W.partitionBy("new_id").orderBy(F.desc("relevance"), "paper_id")
-    best = stored(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "retrieve-best")
-    if frequent.isEmpty():
-        return best
-
-    floor = best.where(F.col("rank") == top).select("new_id", F.col("relevance").alias("floor"))
-    held = asked.join(frequent, "w").groupBy("new_id").agg(F.count("*").alias("held"), F.collect_list("w").alias("a_c"))
-    could = 0.5 * (F.col("held") / F.size("a_w")) + 0.5 * F.col("most")
-    open_ = held.join(level_only.select("new_id", "a_w", "a_l", "most"), "new_id").join(floor, "new_id", "left").where(F.col("floor").isNull() | (could >= F.col("floor")))
-    own = postings.join(frequent, "w").groupBy("paper_id").agg(F.array_sort(F.collect_set("w")).alias("b_c"))
-    kind = ["b_c", "b_l", "b_n"]
-    alike = b.join(own, "paper_id").select("paper_id", "b_c", "b_l", F.size("b_w").alias("b_n"))
-    classes = alike.withColumn("_n", first(*kind)).where(F.col("_n") <= top + 1).groupBy(*kind).agg(F.collect_list("paper_id").alias("ids"))
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "retrieve-classes")
-    meet = open_.select("new_id", F.explode("a_c").alias("w")).join(classes.select("class", F.explode("b_c").alias("w")), "w").select("new_id", "class").distinct()
-    shared = F.size(F.array_intersect("a_c", "b_c"))
-    lifted = meet.join(open_.select("new_id", "a_w", "a_l", "a_c"), "new_id").join(classes, "class").select("new_id", F.explode("ids").alias("paper_id"), relevance(shared, F.col("b_n")).alias("relevance"))
-    # a paper of a class that shares a rarer word as well was met by itself, with no less
-    merged = best.drop("rank").union(lifted.where("new_id <> paper_id")).groupBy("new_id", "paper_id").agg(F.max("relevance").alias("relevance"))
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def _nearest(new: pa.Table, known: pa.Table, top: int) -> pa.Table:
+    """The ``top`` known papers of a tile for each new one, (id, w, l) each; equal relevance goes by id."""
+    known = known.take(pc.sort_indices(known["id"]))
+    word, of, size = _codes(new, known)
+    n, m = len(new), len(known)
+    mine, theirs = of < n, of >= n
+    order = np.argsort(word[theirs], kind="stable")
+    rows, start = (of[theirs] - n)[order], np.searchsorted(word[theirs][order], np.arange(word.max(initial=-1) + 2))
+    asked, first = word[mine], np.searchsorted(of[mine], np.arange(n + 1))
+    sets, level = np.unique([sum(1 << i for i in x or ()) for x in [*new["l"].to_pylist(), *known["l"].to_pylist()]], return_inverse=True)
+    near = np.array([[max((1.0 - 0.15 * abs(i - j) for i in range(7) if s >> i & 1 for j in range(7) if t >> j & 1), default=0.0) for t in sets.tolist()] for s in sets.tolist()]).reshape(len(sets), len(sets))
+    names = pa.concat_arrays([x.combine_chunks().cast(known["id"].type) for x in (new["id"], known["id"])]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    like, found = {s: 0.5 * near[s][level[n:]] for s in set(level[:n].tolist())}, ([], [], [])
+    for i in range(n if m else 0):
+        shared = np.bincount(np.concatenate([rows[start[w] : start[w + 1]] for w in asked[first[i] : first[i + 1]].tolist()] or [rows[:0]]), minlength=m)
+        relevance = 0.5 * (shared / np.maximum(size[i] + size[n:] - shared, 1)) + like[level[i]]
+        relevance[names[n:] == names[i]] = -1.0  # not itself
+        if m > top:
+            least = np.partition(relevance, m - top)[m - top]
+            over, ties = np.flatnonzero(relevance > least), np.flatnonzero(relevance == least)
+            at = np.concatenate([over, ties[: top - len(over)]])
+        else:
+            at = np.arange(m)
+        at = at[relevance[at] >= 0]
+        for out, x in zip(found, (np.full(len(at), i), at, relevance[at]), strict=True):
+            out.append(x)
+    i, at, relevance = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    return pa.table({"new_id": new["id"].take(pa.array(i, pa.int64())), "paper_id": known["id"].take(pa.array(at, pa.int64())), "relevance": pa.array(relevance, pa.float64())})
+
+
+def _codes(new: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each word, place of its paper, words of each paper) of the new papers and then the known ones."""
+    lists = [x.combine_chunks() for x in (new["w"], known["w"])]
+    size = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+    words = pa.concat_arrays([x.flatten().cast(pa.large_string()) for x in lists])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(size)), size), size
 
 
 def template(c: Column) -> Column:
