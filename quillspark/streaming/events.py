@@ -5,6 +5,7 @@ Every transformation takes a batch or a stream alike.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from ..operators.screening import CORE
 from ..functions.text import hits, text_or_empty
 
 RAW = "value string"
+#: Groups of keys that have one state in ``first_by_time``.
+BUCKETS = 256
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -69,33 +72,38 @@ def first_seen(events: DataFrame, keys: list[str], *, time: str = "ts", late: st
     return _watched(events, time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def first_by_time(events: DataFrame, keys: list[str], *, time: str = "ts", order: str = "event_id", late: str = "2 hours") -> DataFrame:
+def first_by_time(events: DataFrame, keys: list[str], *, time: str = "ts", order: str = "event_id", late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """(keys, order, time): each key's first event by time and ``order``.
 
-    On a stream each key has a state, the first event so far.  An event that comes before it corrects
+    On a stream each key has a state, the first event so far; the states of a bucket of keys lie together, as a
+    call of Python costs far more than a key.  An event that comes before it corrects
     it: the key is put out again, and ``settled`` takes the last word.  What comes after the watermark has passed its time
     counts no more.  A key that has had its last event a watermark ago keeps its state, so that it is never first twice.
     """
     rows = events.select(*keys, order, F.col(time).cast("timestamp").alias(time))
     if not events.isStreaming:
         return settled(rows, keys, time=time, order=order)
-    shape = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = ", ".join(f"{k} {t}" for k, t in shape.items())
+    kinds = {f.name: f.dataType for f in rows.schema}
+    named = [f"_k{i}" for i in range(len(keys))]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        first = None
+    def run(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best: dict[tuple, tuple[int, int]] = pickle.loads(state.get[0]) if state.exists else {}
+        new = {}
         for rows in frames:
-            r = rows.sort_values([time, order]).iloc[:1]
-            now = (int(r[time].iloc[0].value // 1000), int(r[order].iloc[0]))
-            if best is None or now < best:
-                best, first = now, r
-        if first is not None:
-            state.update(best)
-            yield first[list(shape)]
-
-    watched = rows.withWatermark(time, late)
-    return watched.groupBy(*keys).applyInPandasWithState(run, out, "at long, place long", "append", GroupStateTimeout.EventTimeTimeout)
+            first = rows.sort_values(["_at", "_order"]).drop_duplicates(named)
+            for key, now in zip(zip(*(first[k] for k in named), strict=True), zip(first["_at"].tolist(), first["_order"].tolist(), strict=True), strict=True):
+                if key not in best or now < best[key]:
+                    best[key] = new[key] = now
+        if new:
+            state.update((pickle.dumps(best),))
+            yield pd.DataFrame([(*k, *v) for k, v in new.items()], columns=[*named, "_at", "_order"])
+
+    # keys as texts, which keep their nulls in a frame of several keys
+    watched = rows.withWatermark(time, late).select(time, *[F.col(k).cast("string").alias(n) for k, n in zip(keys, named, strict=True)], F.unix_micros(time).alias("_at"), F.col(order).cast("long").alias("_order"))
+    watched = watched.withColumn("_bucket", F.pmod(F.xxhash64(*named), F.lit(buckets)))
+    out = ", ".join([*(f"{n} string" for n in named), "_at long", "_order long"])
+    found = watched.groupBy("_bucket").applyInPandasWithState(run, out, "best binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*[F.col(n).cast(kinds[k]).alias(k) for k, n in zip(keys, named, strict=True)], F.col("_order").cast(kinds[order]).alias(order), F.timestamp_micros("_at").alias(time))
 
 
 def settled(found: DataFrame, keys: list[str], *, time: str = "ts", order: str = "event_id") -> DataFrame:
