@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again.
 
 1. language    rows whose language cannot be told (``und``, or a score under ``MIN_SCORE``) go
-2. near_dedup  of each class of near-duplicate texts (five-word shingles, Jaccard 0.8) one document stays
+2. near_dedup  of each class of near-duplicate texts (five-word shingles, Jaccard 0.8) one document stays; candidates by SimHash, then by min-wise keys
 3. decontaminate  documents that hold a benchmark item go
 4. mix         whole and fractional repetitions bring each source to its target, to the nearest whole document
 5. tokens      ids go to a token store; its digests are the result

@@ -1,6 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets are one node.  Candidates share one of ``BANDS`` keys, each made of
+Texts with equal sets are one node.  The first candidates are those whose SimHash fingerprints (see ``simhash``)
+are linked, by 2 or fewer differing bits, to those of one hub.  Fingerprints of 64 bits do not tell all pairs at 0.8, so what
+is still apart goes on to others: these share one of ``BANDS`` keys, each made of
 ``ROWS`` minima of the set under random permutations: a pair at exactly 0.8 shares none with
 probability (1 - 0.8 ** 4) ** 26, about one in a million, and less above.  A candidate
 counts only if its similarity, taken from both whole sets, reaches ``LEAST``.
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from . import simhash
 from ._common import forget, scan_bytes, stored
 from ._words import U64, Words, groups, mix, prefix_sums, span_hashes, window_starts
 from .components import components
@@ -134,16 +137,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return placed.groupBy("bu", "bv").cogroup(sent.groupBy("cu", "cv")).applyInArrow(compare, "u long, v long")
 
 
+def fingerprinted(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, hub): of ``sketches`` with ``hash``, a row a node, those whose SimHash fingerprints are linked, each with its class's smallest node, if it can be a near copy of that."""
+    prints = simhash.fingerprints(docs.select(F.xxhash64("text").alias("hash"), "text"), key="hash").groupBy(F.col("doc_id").alias("hash")).agg(F.min("fp").alias("fp"))
+    printed = stored(distinct.select("node", "size", "odd", "hash").join(prints, "hash").drop("hash"), "near-prints")
+    links = simhash.links(stored(printed.select("fp").distinct(), "near-fingerprints"))
+    classes = components(links).select(F.col("u").alias("fp"), F.col("v").alias("class"))
+    m = printed.join(classes, "fp", "left").select(F.coalesce("class", "fp").alias("class"), F.struct("node", "size", "odd", F.col("node").alias("root")).alias("m"))
+    hubs = m.groupBy("class").agg(F.min_by("m", "m.node").alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(m.join(hubs, "class").where(_possible("m", "h")).select("m.node", F.col("h.node").alias("hub")), "near-likely")
+
+
 def roots(found: DataFrame, docs: DataFrame, *, hubs: tuple[int, ...] = HUBS, size: int = SLICE) -> DataFrame:
     """(node, root) of each node in a component of several; ``found`` is a stored ``sketches`` with ``hash``, the XXH64 of the text."""
     distinct = found.dropDuplicates(["node"])
     keyed = distinct.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(keyed.join(sizes, "key"), "near-keys")
-    named = shared.select("node").distinct().join(found.groupBy("node").agg(F.min("hash").alias("hash"), F.min("size").alias("size"), F.min("odd").alias("odd")), "node")
+    likely = fingerprinted(distinct, docs)
+    named = shared.select("node").union(likely.select(F.explode(F.array("node", "hub")).alias("node"))).distinct().join(found.groupBy("node").agg(F.min("hash").alias("hash"), F.min("size").alias("size"), F.min("odd").alias("odd")), "node")
     named = stored(named, "near-nodes")
     texts = stored(docs.select(F.xxhash64("text").alias("hash"), "text").join(named.select("node", "hash"), "hash").dropDuplicates(["node"]).select("node", "text"), "near-texts")
-    nodes, linked, members = named.select("node", "size", "odd"), None, None
+    nodes, linked, members = named.select("node", "size", "odd"), _joined(likely, texts, None), None
     for turn, count in enumerate(hubs):
         before, members = members, _apart(shared, nodes, linked)
         drawn = [F.min_by("m", F.xxhash64("m.node", F.lit(f"{turn}.{i}"))) for i in range(count)]

@@ -82,3 +82,21 @@ def test_stage_keeps_a_row_of_each_class_whatever_its_id(spark, sf_dir):
     docs = stored(spark.createDataFrame(rows, SCHEMA), "test-near-odd")
     got = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, sf_dir).collect()), key=str)
     assert got == sorted([(None, a), (5, b), (5, c), (6, d), (7, e), (8, f)], key=str)
+
+
+def test_candidates_come_from_fingerprints(spark):
+    texts = _corpus()
+    texts |= {1000 + k: f"{t} {t}" for k, t in list(texts.items())[:3]}  # nearly the same shingles
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) hash")
+    found = stored(near_copies.sketches(docs, ["doc_id", "hash"]), "test-sketches")
+    of = {r.node: r.doc_id for r in found.collect()}
+    likely = {tuple(sorted((of[r.node], of[r.hub]))) for r in near_copies.fingerprinted(found.dropDuplicates(["node"]), docs).collect()}
+    from quillspark.llm import simhash
+
+    prints = {k: simhash.fingerprint(t) for k, t in texts.items()}
+    classes = {k: k for k in texts}
+    for a, b in combinations(sorted(texts), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= simhash.TAU:
+            old, new = classes[b], classes[a]
+            classes = {k: new if c == old else c for k, c in classes.items()}
+    assert likely and all(classes[a] == classes[b] for a, b in likely)
