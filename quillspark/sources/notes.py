@@ -3,8 +3,8 @@
     spark.dataSource.register(Notes)
     notes.write.format("notes").mode("overwrite").save("file:///shared/vault")
 
-Tasks write into a staging folder beside the target, each file under a passing name that is
-renamed when it is whole, so a task that runs twice leaves the same file once.  A commit
+Tasks write into a staging folder beside the target, each file in a passing folder of the task's own,
+from which it is renamed when it is whole, so a task that runs twice leaves the same file once.  A commit
 puts the folder in the target's place by a rename, however many notes there are; an abort
 deletes it.  Folders are reached by URI through Arrow's file systems, so it can be any store that driver
 and executors share.
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: Partitions of Spark's own that one task reads.
+PACKED = 64
+
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{posixpath.abspath(path)}")
@@ -43,6 +46,9 @@ class NotesWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, root = opened(self.staging)
         folders, names = set(), set()
+        own = f"{root}-passing/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
+        passing = f"{own}/note"  # tasks make files in folders of their own, as they would wait for each other in one
         for row in iterator:
             name = posixpath.normpath(row["name"] or "")
             if name.startswith(("/", "..")) or name in (".", ""):
@@ -54,7 +60,6 @@ class NotesWriter(DataSourceWriter):
             if (folder := posixpath.dirname(to)) not in folders:
                 store.create_dir(folder, recursive=True)
                 folders.add(folder)
-            passing = f"{folder}/.{uuid.uuid4().hex}"
             with store.open_output_stream(passing) as f:
                 f.write((row["text"] or "").encode())
             store.move(passing, to)
@@ -62,6 +67,7 @@ class NotesWriter(DataSourceWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, staged = opened(self.staging)
+        self._clear(store, f"{staged}-passing")
         _, target = opened(self.path)
         store.create_dir(staged, recursive=True)
         old = f"{staged}-before"
@@ -77,8 +83,13 @@ class NotesWriter(DataSourceWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, staged = opened(self.staging)
-        if store.get_file_info(staged).type != fs.FileType.NotFound:
-            store.delete_dir(staged)
+        self._clear(store, f"{staged}-passing")
+        self._clear(store, staged)
+
+    @staticmethod
+    def _clear(store: fs.FileSystem, folder: str) -> None:
+        if store.get_file_info(folder).type != fs.FileType.NotFound:
+            store.delete_dir(folder)
 
 
 class Notes(DataSource):
@@ -96,9 +107,15 @@ def write(notes: DataFrame, path: str, *, overwrite: bool = True) -> None:
     notes.select("name", "text").repartition("name").write.format("notes").mode("overwrite" if overwrite else "append").save(path)
 
 
+def packed(files: DataFrame) -> DataFrame:
+    """Small files in fewer tasks: Spark counts each as 4 MB, so some thirty notes of a kilobyte would be a task."""
+    parts = files.rdd.getNumPartitions()
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-parts // PACKED))) if parts else files
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of all files under ``path`` that have a text; Spark's readers pass over empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = packed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
     folder = F.lit(f"/{path.rstrip('/').rpartition('/')[2]}/")
     name = F.call_function("substring", F.col("path"), F.call_function("instr", F.col("path"), folder) + F.length(folder))
     return files.select(name.alias("name"), F.decode("content", "UTF-8").alias("text"))
