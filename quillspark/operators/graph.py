@@ -89,10 +89,11 @@ def pairs(scored: DataFrame, *, id: str = "paper_id", score: str = "dry_score",
 
     The result has k (k - 1) / 2 rows for k papers above the floor, by definition; ``most`` bounds k to the best.
     """
-    best = scored.where(F.col(score) > floor).orderBy(F.desc(score), pos)
+    # scored once: the floor would score each paper a second time, and the ranges all of them again
+    best = stored(scored.select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), F.col(pos).alias("_pos")), "pair-scores").where(F.col("s") > floor)
     if most is not None:
-        best = best.limit(most)
-    best = ranked(best.select(F.col(id).cast("string").alias("i"), F.col(score).alias("s"), F.col(pos).alias("_pos")), F.desc("s"), "_pos", name="rn").drop("_pos")
+        best = best.orderBy(F.desc("s"), "_pos").limit(most)
+    best = ranked(best, F.desc("s"), "_pos", name="rn").drop("_pos")
     a, b = tiles(best)
     # sent to the tasks, as a broadcast would hold all copies of a side
     return a.join(b.hint("merge"), ["x", "y"]).where("a_rn < b_rn").select("source_id", "target_id", "base_score", F.col("a_rn").cast("long").alias("rank"))

@@ -31,3 +31,16 @@ def test_words_are_compared_once_a_class(spark, monkeypatch, size):
     sets = sorted((i, set(t.split())) for i, t, _ in rows if i)
     want = [("L1", i, j, round(len(s & t) / len(s | t), 3)) for (i, s), (j, t) in itertools.combinations(sets, 2) if len(s & t) / len(s | t) >= 0.6]
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_a_paper_is_scored_once_for_its_pairs(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    scored = spark.range(50).selectExpr("id AS paper_id", "1 - id / 50 AS dry_score", "id AS pos").mapInArrow(score, "paper_id long, dry_score double, pos long")
+    assert graph.pairs(scored).count() == 39 * 40 / 2  # 40 papers are above 0.2
+    assert met.value == 50
