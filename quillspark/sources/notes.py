@@ -12,19 +12,23 @@ and executors share.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
+from itertools import batched
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: Partitions of Spark's own that one task reads.
-PACKED = 64
+#: Names that are listed, and files and bytes of them that are read, at once.
+NAMES, BYTES = 1000, 4 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -107,15 +111,62 @@ def write(notes: DataFrame, path: str, *, overwrite: bool = True) -> None:
     notes.select("name", "text").repartition("name").write.format("notes").mode("overwrite" if overwrite else "append").save(path)
 
 
-def packed(files: DataFrame) -> DataFrame:
-    """Small files in fewer tasks: Spark counts each as 4 MB, so some thirty notes of a kilobyte would be a task."""
-    parts = files.rdd.getNumPartitions()
-    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-parts // PACKED))) if parts else files
+def files(path: str) -> Iterator[str]:
+    """Names of all files under ``path``, hidden ones left out; a local folder is never a list as a whole."""
+    store, root = opened(path)
+    local = isinstance(store, fs.LocalFileSystem)
+    folders = [""]
+    while folders:
+        folder = folders.pop()
+        with os.scandir(f"{root}/{folder}") if local else nullcontext(store.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/")))) as held:
+            for x in held:
+                name = x.name if local else x.base_name
+                if name.startswith("."):
+                    continue
+                if x.is_dir() if local else x.type == fs.FileType.Directory:
+                    folders.append(f"{folder}{name}/")
+                else:
+                    yield f"{folder}{name}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of all files under ``path`` that have a text; Spark's readers pass over empty files."""
-    files = packed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    folder = F.lit(f"/{path.rstrip('/').rpartition('/')[2]}/")
-    name = F.call_function("substring", F.col("path"), F.call_function("instr", F.col("path"), folder) + F.length(folder))
-    return files.select(name.alias("name"), F.decode("content", "UTF-8").alias("text"))
+    """(name, text) of all files under ``path`` that have a text; empty files are passed over.
+
+    A task lists the names and others read the files, so the driver holds none of them, however many there are.
+    """
+    path = path.rstrip("/")
+    store, root = opened(path)
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        raise FileNotFoundError(path)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for some in batched(files(path), NAMES):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["name"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(path)
+        names, held, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], names=["name", "content"])
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    content = f.read()
+                if not content:
+                    continue
+                names.append(name)
+                held.append(content)
+                size += len(content)
+                if size >= BYTES or len(names) >= NAMES:
+                    yield out()
+                    names, held, size = [], [], 0
+        if names:
+            yield out()
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    found = spark.range(1, numPartitions=1).mapInArrow(listed, "name string").repartition(tasks, "name").mapInArrow(contents, "name string, content binary")
+    return found.select("name", F.decode("content", "UTF-8").alias("text"))

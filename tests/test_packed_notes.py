@@ -30,3 +30,15 @@ def test_a_task_makes_files_in_a_folder_of_its_own(tmp_path):
     assert seen == [["0.md"], ["0.md", "1.md"], ["0.md", "1.md", "2.md"]] and len(os.listdir(f"{opened}-passing")) == 1
     writer.commit([done])
     assert os.listdir(tmp_path) == ["vault"] and sorted(os.listdir(f"{tmp_path}/vault/papers")) == ["0.md", "1.md", "2.md"]
+
+
+def test_the_driver_holds_no_list_of_notes(spark, tmp_path):
+    path = f"file://{tmp_path}/vault"
+    rows = [(f"papers/{i}.md", f"text {i}") for i in range(40)] + [("papers/_a.md", "a"), ("_b/c d%20.md", "é")]
+    notes.write(spark.createDataFrame(rows, "name string, text string"), path)
+    got = notes.read(spark, path)
+    assert got.inputFiles() == []
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    (tmp_path / "vault" / ".hidden").mkdir()
+    (tmp_path / "vault" / ".hidden" / "x.md").write_text("x")
+    assert got.count() == len(rows)
